@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_quality, source_mix, url_filter
+from . import exact_dedup, line_quality, packing, pii, secrets, source_mix, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_secrets": secrets.op2_secrets,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_line_quality": line_quality.op9_line_quality,
 }
+#: The others return spans or ids that SQL can't derive; tests/llm holds them against brute force.
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE_OP3,
     "op6_source_mix": source_mix.ORACLE_OP6,
