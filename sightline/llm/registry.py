@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_quality, packing, pii, secrets, source_mix, url_filter
+from . import exact_dedup, line_quality, near_dedup, packing, pii, secrets, source_mix, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_line_quality": line_quality.op9_line_quality,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 #: The others return spans or ids that SQL can't derive; tests/llm holds them against brute force.
 ORACLES = {
@@ -19,4 +20,5 @@ ORACLES = {
     "op6_source_mix": source_mix.ORACLE_OP6,
     "op7_url_filter": url_filter.ORACLE_OP7,
     "op9_line_quality": line_quality.ORACLE_OP9,
+    "op10_near_dedup": near_dedup.ORACLE_OP10,
 }
