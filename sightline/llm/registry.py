@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_quality, near_dedup, packing, pii, secrets, source_mix, url_filter
+from . import exact_dedup, line_quality, near_dedup, packing, pii, quality_knn, secrets, source_mix, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality_knn": quality_knn.op4_quality_knn,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_url_filter": url_filter.op7_url_filter,
