@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_quality, near_dedup, packing, pii, quality_knn, secrets, source_mix, url_filter
+from . import exact_dedup, html_text, line_quality, near_dedup, packing, pii, quality_knn, secrets, source_mix, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_html_text": html_text.op8_html_text,
     "op9_line_quality": line_quality.op9_line_quality,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
