@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import exact_dedup, html_text, line_quality, near_dedup, packing, pii, quality_knn, secrets, source_mix, url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pii": pii.op1_pii,
     "op2_secrets": secrets.op2_secrets,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -24,3 +27,5 @@ ORACLES = {
     "op9_line_quality": line_quality.ORACLE_OP9,
     "op10_near_dedup": near_dedup.ORACLE_OP10,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
