@@ -9,15 +9,17 @@ follows is between classes, so exact copies are never paired.
 
 Banding: a class is in one bucket per band. Buckets are dealt by range over (bucket, class), so a bucket of any
 size is spread over tasks, and read as a sorted stream: each class is paired with the first class of its run
-only. What these pairs link is grouped. Then, in buckets that still hold several groups, the classes outside
-the bucket's largest group are paired with all classes of other groups, filtered inside the join by size and by
-a sketch of one bit per slot. So no link between different texts that share a bucket is lost, and large
-groups cost as many pairs as they have members.
+only, if their sizes and sketches of one bit per slot allow. What these pairs link is grouped. Then, in buckets
+that still hold several groups, the classes outside the bucket's largest group are paired with all classes of
+other groups, filtered inside the join by size and by an odd sketch: a bit per cell, flipped by each shingle that
+falls into it. Two odd sketches never differ in more bits than the sets have elements apart, so for sets of up to
+some thousand shingles this filter loses nothing and lets hardly a pair through that is not a link. So no link
+between different texts that share a bucket is lost, and linked groups cost as many pairs as they have members.
 
 Verification: the texts of both sides are read again and compared by their full shingle sets.
 
 Misses: two texts of similarity exactly 0.8 share no bucket with probability (1 - 0.8^5)^32 = 3e-6, and the
-sketch, 5.5 standard deviations wide, drops one in a million.
+sketches, 5.5 standard deviations wide, drop one in a million.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and keeps its own id; fewer words
 than a shingle make one shingle of the whole sequence; of repeated ids the rows are separate rows; a null id
@@ -41,6 +43,8 @@ _TOP = U64(0xFFFFFFFFFFFFFFFF)
 _LOW = U64(0xFFFFFFFF)
 #: Bands, and slots in a band.
 BANDS, ROWS = 32, 5
+#: Bits of an odd sketch.
+CELLS = 1024
 #: Standard deviations by which a sketch may differ from what the least similarity expects.
 SKETCH_WIDTH = 5.5
 
@@ -93,7 +97,20 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-_SIGNED = "doc_id bigint, n bigint, k0 bigint, k1 bigint, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>"
+def odd_sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """CELLS bits per set, as 64-bit words: whether an odd number of the set's hashes falls into the cell."""
+    n_sets = len(offsets) - 1
+    cell = (mix64(values + step(977)) >> U64(33)).astype(np.int64) % CELLS
+    at = np.repeat(np.arange(n_sets, dtype=np.int64) * CELLS, np.diff(offsets)) + cell
+    odd = (np.bincount(at, minlength=n_sets * CELLS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n_sets, CELLS), axis=1).view(U64)
+
+
+_SIGNED = "doc_id bigint, n bigint, k0 bigint, k1 bigint, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>, odd array<bigint>"
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), _longs(x.reshape(-1)))
 
 
 def _sign(width: int, bands: int, rows: int):
@@ -116,12 +133,9 @@ def _sign(width: int, bands: int, rows: int):
                     for r in range(rows):
                         own = mix64(own * U64(3) + slots[:, k * rows + r])
                     found[:, k] = own
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), _longs(found.reshape(-1))
-                )
                 yield pa.record_batch(
-                    [doc.slice(a, b - a), pa.array(np.diff(offsets)), *map(pa.array, keys), *(_longs(sketch[:, k]) for k in range(3)), lists],
-                    names=["doc_id", "n", "k0", "k1", "s0", "s1", "s2", "bands"],
+                    [doc.slice(a, b - a), pa.array(np.diff(offsets)), *map(pa.array, keys), *(_longs(sketch[:, k]) for k in range(3)), _lists(found), _lists(odd_sketches(values, offsets))],
+                    names=["doc_id", "n", "k0", "k1", "s0", "s1", "s2", "bands", "odd"],
                 )
 
     return sign
@@ -291,26 +305,33 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("cid"), F.col("a").alias("root")))
 
 
-def _may_be_similar(a: DataFrame, b: DataFrame, percent: int, room: int) -> Column:
-    bits = sum((F.bit_count(a[s].bitwiseXOR(b[s])) for s in ("s1", "s2")), F.bit_count(a["s0"].bitwiseXOR(b["s0"])))
-    return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (bits <= room)
+def _may_be_similar(x: DataFrame, y: DataFrame, percent: int) -> Column:
+    """Whether two sets' sizes and odd sketches allow the least similarity.
+
+    Sets as similar as that are at most (1 - t) / (1 + t) of both sizes apart. Their sketches then differ in no
+    more bits; where the cells fill up, in no more than expected and SKETCH_WIDTH standard deviations.
+    """
+    apart = (100 - percent) * (x["n"] + y["n"]) / (100 + percent)
+    expected = CELLS / 2 * (1 - F.exp(-2 * apart / CELLS))
+    spread = F.sqrt(CELLS / 4 * (1 - F.exp(-4 * apart / CELLS)))
+    bits = F.lit(0)
+    for k in range(CELLS // 64):
+        bits = bits + F.bit_count(x["odd"][k].bitwiseXOR(y["odd"][k]))
+    return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (bits <= F.least(apart, expected + SKETCH_WIDTH * spread))
 
 
-def _across_groups(members: DataFrame, comp: DataFrame, tested: DataFrame, percent: int, room: int) -> DataFrame:
-    """Pairs of one bucket and different groups that may be similar and weren't tested."""
+def _across_groups(members: DataFrame, comp: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and different groups that may be similar and weren't tested. sketches: cid, odd."""
     placed = written(
-        members.select("bucket", "cid", "n", "s0", "s1", "s2")
-        .join(comp, "cid", "left")
-        .withColumn("root", F.coalesce("root", "cid")),
-        "placed",
+        members.select("bucket", "cid", "n").join(comp, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "placed"
     )
     groups = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("bucket").agg(F.max_by("root", "size").alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-    own = written(placed.join(mixed, "bucket"), "mixed")
+    mixed = groups.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    own = written(placed.join(mixed, "bucket").join(sketches, "cid"), "mixed")
     x = own.where("root <> most").select(*(F.col(c).alias(c) for c in own.columns))
     y = own.select(F.col("bucket").alias("bucket_y"), *(F.col(c).alias(c) for c in own.columns if c != "bucket"))
     once = (y["root"] == y["most"]) | (x["cid"] < y["cid"])
-    met = x.join(y, (x["bucket"] == y["bucket_y"]) & (x["root"] != y["root"]) & once & _may_be_similar(x, y, percent, room))
+    met = x.join(y, (x["bucket"] == y["bucket_y"]) & (x["root"] != y["root"]) & once & _may_be_similar(x, y, percent))
     pairs = met.select(F.least(x["cid"], y["cid"]).alias("a"), F.greatest(x["cid"], y["cid"]).alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -331,7 +352,7 @@ def near_duplicates(
     classes = written(
         signed.where("n > 0")
         .groupBy("k0", "k1")
-        .agg(F.min("doc_id").alias("doc"), F.first(F.struct("n", "s0", "s1", "s2", "bands")).alias("x"))
+        .agg(F.min("doc_id").alias("doc"), F.first(F.struct("n", "s0", "s1", "s2", "bands", "odd")).alias("x"))
         .select("k0", "k1", "doc", "x.*", F.monotonically_increasing_id().alias("cid")),
         "classes",
     )
@@ -343,7 +364,7 @@ def near_duplicates(
     starred = written(members.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     links = _verified(starred, classes, docs, width, percent)
     comp = written(components(links), "groups")
-    more = written(_across_groups(members, comp, starred, percent, room), "across")
+    more = written(_across_groups(members, comp, classes.select("cid", "odd"), starred, percent), "across")
     if more.limit(1).count():
         links = comp.where("cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b")).unionByName(
             _verified(more, classes, docs, width, percent)

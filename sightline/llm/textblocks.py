@@ -54,10 +54,10 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def blocks(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, most_bytes: int = 1 << 21, most_rows: int = 1 << 12) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them) for runs of rows.
 
-    A run holds at most most_bytes unless a single row does already; null is empty.
+    A run holds at most most_rows, and most_bytes unless a single row has more; null is empty.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -73,7 +73,7 @@ def blocks(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, i
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most_bytes, "right")) - 1)
-        b = min(b, n)
+        b = min(b, a + most_rows, n)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 
