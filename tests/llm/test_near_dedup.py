@@ -82,12 +82,28 @@ def test_awkward_tables(spark):
 
 
 def test_groups_in_one_bucket_are_compared_across(spark):
-    """A and B both resemble C but C isn't the bucket's first class: the second step has to find the links."""
-    members = spark.createDataFrame([(7, c, 100, 0, 0, 0, None) for c in (1, 2, 3, 4)], nd._MEMBERS)
+    """Links that a bucket's first class has no part in are found by the second step; far sets aren't paired."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    far = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = {1: far, 2: far[:99], 3: base, 4: base[3:], 5: np.concatenate([base[:60], far[:40]])}
+    values = np.concatenate(list(sets.values()))
+    odd = nd.odd_sketches(values, np.cumsum([0, *map(len, sets.values())])).view(np.int64)
+    sketches = spark.createDataFrame([(c, odd[k].tolist()) for k, c in enumerate(sets)], "cid bigint, odd array<bigint>")
+    members = spark.createDataFrame([(7, c, len(v), 0, 0, 0, None) for c, v in sets.items()], nd._MEMBERS)
     comp = spark.createDataFrame([(1, 1), (2, 1)], "cid bigint, root bigint")
     tested = spark.createDataFrame([(1, 3)], "a bigint, b bigint")
-    got = nd._across_groups(members, comp, tested, 80, 37).collect()
-    assert sorted((r.a, r.b) for r in got) == [(1, 4), (2, 3), (2, 4), (3, 4)]
+    assert [(r.a, r.b) for r in nd._across_groups(members, comp, sketches, tested, 80).collect()] == [(3, 4)]
+
+
+def test_odd_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 800):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for k in (0, n // 10, n // 3):
+            b = np.concatenate([a[k:], rng.integers(0, 2**63, k, dtype=np.uint64)])
+            x, y = nd.odd_sketches(np.concatenate([a, b]), np.array([0, n, 2 * n]))
+            assert np.bitwise_count(x ^ y).sum() <= 2 * k
 
 
 def test_components(spark):
