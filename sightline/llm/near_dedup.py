@@ -321,7 +321,9 @@ def _may_be_similar(x: DataFrame, y: DataFrame, percent: int) -> Column:
 
 
 def _across_groups(members: DataFrame, comp: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different groups that may be similar and weren't tested. sketches: cid, odd."""
+    """Pairs of one bucket and different groups that may be similar and weren't tested. sketches: cid, odd, bands.
+
+    A pair that shares several buckets is made in the one of the smallest number only."""
     placed = written(
         members.select("bucket", "cid", "n").join(comp, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "placed"
     )
@@ -331,7 +333,8 @@ def _across_groups(members: DataFrame, comp: DataFrame, sketches: DataFrame, tes
     x = own.where("root <> most").select(*(F.col(c).alias(c) for c in own.columns))
     y = own.select(F.col("bucket").alias("bucket_y"), *(F.col(c).alias(c) for c in own.columns if c != "bucket"))
     once = (y["root"] == y["most"]) | (x["cid"] < y["cid"])
-    met = x.join(y, (x["bucket"] == y["bucket_y"]) & (x["root"] != y["root"]) & once & _may_be_similar(x, y, percent))
+    here = F.array_min(F.array_intersect(x["bands"], y["bands"])) == x["bucket"]
+    met = x.join(y, (x["bucket"] == y["bucket_y"]) & (x["root"] != y["root"]) & once & _may_be_similar(x, y, percent) & here)
     pairs = met.select(F.least(x["cid"], y["cid"]).alias("a"), F.greatest(x["cid"], y["cid"]).alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -364,7 +367,7 @@ def near_duplicates(
     starred = written(members.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
     links = _verified(starred, classes, docs, width, percent)
     comp = written(components(links), "groups")
-    more = written(_across_groups(members, comp, classes.select("cid", "odd"), starred, percent), "across")
+    more = written(_across_groups(members, comp, classes.select("cid", "odd", "bands"), starred, percent), "across")
     if more.limit(1).count():
         links = comp.where("cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b")).unionByName(
             _verified(more, classes, docs, width, percent)

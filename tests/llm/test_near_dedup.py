@@ -89,8 +89,8 @@ def test_groups_in_one_bucket_are_compared_across(spark):
     sets = {1: far, 2: far[:99], 3: base, 4: base[3:], 5: np.concatenate([base[:60], far[:40]])}
     values = np.concatenate(list(sets.values()))
     odd = nd.odd_sketches(values, np.cumsum([0, *map(len, sets.values())])).view(np.int64)
-    sketches = spark.createDataFrame([(c, odd[k].tolist()) for k, c in enumerate(sets)], "cid bigint, odd array<bigint>")
-    members = spark.createDataFrame([(7, c, len(v), 0, 0, 0, None) for c, v in sets.items()], nd._MEMBERS)
+    sketches = spark.createDataFrame([(c, odd[k].tolist(), [8, 7, 9 + c]) for k, c in enumerate(sets)], "cid bigint, odd array<bigint>, bands array<bigint>")
+    members = spark.createDataFrame([(b, c, len(v), 0, 0, 0, None) for c, v in sets.items() for b in (7, 8)], nd._MEMBERS)
     comp = spark.createDataFrame([(1, 1), (2, 1)], "cid bigint, root bigint")
     tested = spark.createDataFrame([(1, 3)], "a bigint, b bigint")
     assert [(r.a, r.b) for r in nd._across_groups(members, comp, sketches, tested, 80).collect()] == [(3, 4)]
