@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or for a local master a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sightline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/edges-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from sightline.scratch import written
 
 
 def components(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """keys, node, root: the smallest node that each node of an edge reaches within its keys.
+    """keys, node, root: the smallest node that each node of an edge reaches within its keys (which may be none).
 
     Each round moves a node's larger neighbours to the smallest it sees, then a node and its smaller neighbours
     to the smallest of them, until every node stands under its root. Neighbours are aggregated, not gathered.
