@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .textblocks import U64, blocks, mix64, step, word_bounds, word_hashes
 
-BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER = 2048, 48, 4096, 25, 8
+BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER = 1024, 48, 4096, 25, 8
 #: Tokens that a word gives which repeats the one before it.
 REPEATS = 6
 #: Documents whose counts are held at a time, and documents in a block of the cosine product.
@@ -128,11 +128,11 @@ def fit(shares: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
     if not n:
         return Model(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0))
     weights = np.log((n + 1) / ((shares > 0).sum(axis=0) + 0.5)).astype(np.float32) + 0.3
-    x = (shares * weights).astype(np.float64)
-    values, vectors = np.linalg.eigh(x.T @ x)
+    x = shares * weights
+    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     top = np.argsort(values)[::-1][:rank]
     projection = vectors[:, top].astype(np.float32)
-    return Model(weights, projection, _unit((shares * weights) @ projection), labels.astype(np.float64))
+    return Model(weights, projection, _unit(x @ projection), labels.astype(np.float64))
 
 
 def held_out(id_col: Column) -> Column:
