@@ -46,8 +46,10 @@ def folds_of(labels: list[int], k: int, seed: int) -> list[list[int]]:
 
 
 def spread(id_col: Column, seed: int = 42) -> Column:
-    """An order of ids that looks random and that any SQL engine can compute: multiplicative hashing modulo 2^32."""
-    return F.pmod((id_col + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
+    """An order of ids that looks random and that any SQL engine can compute: multiplicative hashing modulo 2^32 of
+    the id's lower 31 bits, so that no product overflows."""
+    low = F.pmod(F.pmod(id_col, F.lit(1 << 31)) + F.lit(seed), F.lit(1 << 31))
+    return F.pmod(low * F.lit(2654435761), F.lit(1 << 32))
 
 
 def stratified_folds(df: DataFrame, k: int, id_col: str, label_col: str, seed: int = 42) -> DataFrame:

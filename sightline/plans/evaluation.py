@@ -11,7 +11,7 @@ from sightline.tables import table
 from .neighbours import _PAIRS, vector_pairs
 from .registry import query
 
-_SPREAD = "((vec_id + 42) * 2654435761) % 4294967296"
+_SPREAD = "((vec_id % 2147483648 + 42) % 2147483648 * 2654435761) % 4294967296"
 _PLACED = f"placed AS (SELECT vec_id AS id, label, row_number() OVER (ORDER BY {_SPREAD}, vec_id) AS place FROM embeddings)"
 _NEGATIVE = f"""neg AS (SELECT DISTINCT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j
   FROM placed a JOIN placed b ON b.place = a.place + 7 AND a.label <> b.label)"""
