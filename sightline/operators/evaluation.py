@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.scratch import written
+
 from .ordered import numbered, running_sums, with_next
 
 _MASK = (1 << 64) - 1
@@ -104,6 +106,7 @@ def roc_curve(df: DataFrame, distance_col: str, same_col: str) -> DataFrame:
     per = df.groupBy(F.col(distance_col).alias("threshold")).agg(
         F.sum(F.col(same_col).cast("bigint")).alias("pos"), F.sum((~F.col(same_col)).cast("bigint")).alias("neg")
     )
+    per = written(per, "distances")  # read four times below
     run = running_sums(per, "threshold", {"tp": "pos", "fp": "neg"})
     totals = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)

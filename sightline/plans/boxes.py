@@ -8,7 +8,7 @@ from sightline.functions import boxes as B
 from sightline.operators import boxes as O
 from sightline.tables import table
 
-from .registry import query
+from .registry import ORACLES, query
 
 _V = """
 WITH RECURSIVE v AS (
@@ -70,6 +70,15 @@ def group_boxes(spark, sf_dir):
     return _flat(O.group_boxes(boxes(spark, sf_dir), "image", "id", "box", 3), "image", "root", "size")
 
 
+@query("group_boxes_joined")
+def group_boxes_joined(spark, sf_dir):
+    """The same groups by joins and star rounds."""
+    return _flat(O.group_boxes_joined(boxes(spark, sf_dir), "image", "id", "box", 3), "image", "root", "size")
+
+
+ORACLES["group_boxes_joined"] = ORACLES["group_boxes"]
+
+
 @query("group_boxes_passthrough", _V + "SELECT image, id AS root, 1::BIGINT AS size, x, y, w, h FROM v")
 def group_boxes_passthrough(spark, sf_dir):
     """min_neighbors of 1 groups nothing."""

@@ -33,7 +33,9 @@ def images(spark, sf_dir: str):
             data = [((int(k) * 31 + base) % 256).astype(np.uint8).tobytes() for k in pdf["p_partkey"]]
             yield pd.DataFrame({"img": pdf["p_partkey"], "width": SIDE, "height": SIDE, "channels": 1, "data": data})
 
-    return table(spark, sf_dir, "part").select("p_partkey").mapInPandas(make, "img bigint, width int, height int, channels int, data binary")
+    # keys are dealt to all cores before any pixel exists: one small file would be one task
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+    return keys.mapInPandas(make, "img bigint, width int, height int, channels int, data binary")
 
 
 def _pixel_rows(spark, sf_dir, f):

@@ -119,6 +119,7 @@ def test_grouping_forms_agree(spark):
         got = sorted((r.image, tuple(r.box)) for r in OB.group_boxes(df, "image", "id", "box", least).collect())
         want = sorted((i, tuple(map(int, b))) for i in {r[0] for r in rows} for b in OB.group_boxes_local(np.array([r[2] for r in rows if r[0] == i]), least))
         assert got == want
+        assert sorted((r.image, tuple(r.box)) for r in OB.group_boxes_joined(df, "image", "id", "box", least).collect()) == want
 
 
 def test_suppression():
