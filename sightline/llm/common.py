@@ -1,59 +1,21 @@
-"""Shared folder for intermediate tables, and expression helpers."""
+"""Expression helpers, and the written tables of the whole library."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightline.scratch import shared_dir, written
+
+__all__ = ["NOT_WHITE", "WHITE", "let", "shared_dir", "words", "written"]
+
 #: ASCII white space, which separates words everywhere in this subpackage.
 WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Where it is unset, one is made under the temporary folder, for a local master only: a cluster's
-    machines would not see each other's files there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="sightline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    _remove_at_exit(spark, made)
-    return made
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            pass
-
-    atexit.register(remove)
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sightline-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    _remove_at_exit(spark, path.rsplit("/", 1)[0])
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once even where body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]

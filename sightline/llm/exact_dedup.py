@@ -1,6 +1,6 @@
 """Exact deduplication by content sort.
 
-Rows are dealt by range over (leading code points of the text, its 64-bit hash, id): Spark samples the
+Rows are dealt by range over (leading code points of the text, its MD5 digest, id): Spark samples the
 splitters from these bounded keys, so what reaches the driver does not grow with the texts' lengths. The
 external sort within a partition goes on with the whole text, so equal texts stand side by side, and
 neighbours are compared in full. The id is part of the range key, so the copies of one text, however many,
@@ -40,7 +40,7 @@ def _sorted(df: DataFrame, text: str, order_id: Column) -> DataFrame:
         df.withColumns(
             {
                 "_sl_lead": F.substring(F.col(text), 1, LEAD),
-                "_sl_hash": F.xxhash64(F.col(text)),
+                "_sl_hash": F.md5(F.col(text).cast("binary")),
                 "_sl_id": order_id,
             }
         )

@@ -24,6 +24,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Open tags that a block's path has from the root, and as many from close by.
+ENDS = 8
 # tags whose text is never shown or is a control's
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas head select textarea button option datalist audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +67,8 @@ def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     blocks: list[Block] = []
     stack: list[tuple[str, tuple]] = []
+    outer: list[tuple[str, tuple]] = []  # the stack without inline tags
+    is_open: Counter = Counter()
     parts: list[str] = []
     own = {"linked": 0, "links": 0, "skip": 0}
 
@@ -71,7 +76,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(tuple(e for e in stack if e[0] not in INLINE), text, own["linked"]))
+                path = outer if len(outer) <= 2 * ENDS else outer[:ENDS] + outer[-ENDS:]
+                blocks.append(Block(tuple(path), text, own["linked"]))
             parts.clear()
             own["linked"] = 0
 
@@ -86,6 +92,9 @@ def leaf_blocks(page: str) -> list[Block]:
         for tag, _ in stack[k:]:
             own["skip"] -= tag in SKIPPED
             own["links"] -= tag == "a"
+            is_open[tag] -= 1
+            if tag not in INLINE:
+                outer.pop()
         del stack[k:]
 
     at, end = 0, len(page)
@@ -100,6 +109,10 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not is_open[tag]:
+                if tag not in INLINE:
+                    flush()
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag not in INLINE:
@@ -122,10 +135,11 @@ def leaf_blocks(page: str) -> list[Block]:
             flush()
             if tag not in ("p",) and tag not in CLOSES and stack and stack[-1][0] == "p" and tag not in VOID:
                 pop_to(len(stack) - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in WALLS and stack[k][0] not in CLOSES.get(tag, ()):
+            closes = CLOSES.get(tag, ())
+            for k in range(len(stack) - 1, -1, -1) if is_open["p"] or any(is_open[t] for t in closes) else ():
+                if stack[k][0] in WALLS and stack[k][0] not in closes:
                     break
-                if stack[k][0] in CLOSES.get(tag, ()) or (stack[k][0] == "p"):
+                if stack[k][0] in closes or stack[k][0] == "p":
                     pop_to(k)
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -133,6 +147,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[3]:
             words = tuple(w.lower() for x in _NAMES.finditer(m[3]) for w in _SPLIT.split(x[2] or x[3] or x[4] or "") if len(w) > 1)
         stack.append((tag, words[:6]))
+        is_open[tag] += 1
+        if tag not in INLINE:
+            outer.append(stack[-1])
         own["skip"] += tag in SKIPPED
         own["links"] += tag == "a"
     flush()

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators import components as stars
+
 from .common import written
 from .textblocks import U64, mix64, shingle_sets, step
 
@@ -276,33 +278,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """cid, root: the smallest cid that each linked cid reaches. links: a, b.
 
-    Tasks join what they can by union-find; the rest are star rounds, each a written table, until every node
-    points at its root. A node's neighbours are only ever aggregated, never gathered.
+    Tasks join what they can by union-find; the rest are star rounds, in which a node's neighbours are only ever
+    aggregated, never gathered.
     """
-    edges = written(links.select("a", "b").mapInArrow(_forest, "a bigint, b bigint").distinct(), "edges")
-    while True:
-        # large star: the larger neighbours of a node go to the smallest it sees
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").distinct()
-        # small star: a node and its smaller neighbours go to the smallest of them
-        large = written(large, "large")
-        low = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(low, "b").select(F.col("low").alias("x"), "a", "b")
-        after = (
-            small.select(F.col("x").alias("a"), F.col("a").alias("b"))
-            .unionByName(small.select(F.col("x").alias("a"), "b"))
-            .where("a <> b")
-            .distinct()
-        )
-        after = written(after, "edges")
-        deep = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        twice = deep or after.groupBy("b").count().where("count > 1").limit(1).count()
-        edges = after
-        if not twice:
-            break
-    roots = edges.select("a").distinct().select(F.col("a").alias("cid"), F.col("a").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("cid"), F.col("a").alias("root")))
+    forest = links.select("a", "b").mapInArrow(_forest, "a bigint, b bigint").distinct()
+    return stars.components(forest, [], "a", "b").withColumnRenamed("node", "cid")
 
 
 def _may_be_similar(x: DataFrame, y: DataFrame, percent: int) -> Column:

@@ -10,6 +10,8 @@ Targets: sources by code point, null last, weigh 3, 1, 2, repeating, and share `
 above `most` times its source's words stops there and the excess is shared among the others by weight.
 A target above its source's words takes every document whole times first and the rest by hash.
 
+The sources' sums meet in one task, a few dozen bytes a source; everything else is per document or per bucket.
+
 Defined cases: null text has no words and is never taken; documents with equal ids share a hash and are taken
 together; a null id hashes as the empty string; a source without words has target 0; an empty table gives an
 empty result. Of the two thresholds around the budget, the nearer one is used.
