@@ -2,7 +2,8 @@
 
 Queries and gallery are packed into blocks of rows as matrices; each pair of blocks is one matrix product in a
 task, which passes on the `k` nearest of the block per query, and a window keeps the `k` nearest of all. Memory
-per task is two blocks and their distances, whatever the size of the gallery; nothing is broadcast.
+per task is two blocks and their distances, whatever the size of the gallery; Spark broadcasts a side's blocks only
+under its own size limit.
 
 Ties go to the smaller id, on distances rounded to `places`.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.vectors import matrix_distance
+from sightline.scratch import written
 
 BLOCK = 1024
 
@@ -50,8 +52,9 @@ def nearest(
     block: int = BLOCK,
 ) -> DataFrame:
     """query_id, query_label, rank (from 1), gallery_id, gallery_label, distance. Widths of the vectors must agree."""
-    q = blocks(queries, id_col, vec_col, label_col, "q_", block)
-    g = blocks(gallery, id_col, vec_col, label_col, "g_", block)
+    # written: a block is read once per block of the other side, and its true size decides how they meet
+    q = written(blocks(queries, id_col, vec_col, label_col, "q_", block), "queries")
+    g = written(blocks(gallery, id_col, vec_col, label_col, "g_", block), "gallery")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

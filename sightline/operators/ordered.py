@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.scratch import written
+
 
 def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     found = a[keys[0]].eqNullSafe(b[keys[0]])
@@ -54,6 +56,23 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], as_col: str, widt
     return joined.select(*(a[c] for c in df.columns), (F.col("_own") + F.col("_before")).alias(as_col))
 
 
+def numbered_whole(df: DataFrame, order: list[str], as_col: str) -> DataFrame:
+    """df with each row's number from 1 by columns of any type, over the whole table.
+
+    Rows are dealt by range and sorted in their partitions, where each has a place; partitions' counts, one row
+    each, give the offsets. The table is written in between, so places and counts come from the same deal.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(dealt, "numbered")
+    part = F.shiftright("_place", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # one row a partition
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).alias(as_col))
+
+
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], ranges: int = 64) -> DataFrame:
     """df with running totals by a unique numeric column: sums maps new names to columns.
 

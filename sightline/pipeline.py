@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,14 +117,19 @@ def benchmark(pixels: DataFrame, textures: DataFrame, how: Benchmark) -> list[di
         row: dict = {"algorithm": algorithm}
         if how.mode in ("identification", "all"):
             hits = None
+            fit = ask = 0.0
             for fold in range(how.folds):
+                began = time.perf_counter()
                 model = M.train(E.train_of(data, fold, "sample_id"), algorithm, threshold=0.5 if algorithm == "eigenfaces" else None)
+                fit += time.perf_counter() - began
                 metric = {"eigenfaces": "cosine_half", "fisherfaces": "euclidean", "lbph": "chi_square"}[algorithm]
                 found = N.nearest(model.embed(data.where(F.col("fold") == fold)), model.gallery, 5, metric, "sample_id", "vec", "label")
+                began = time.perf_counter()
                 top = written(N.top_hits(found), "hits")
+                ask += time.perf_counter() - began
                 hits = top if hits is None else hits.unionByName(top)
             got = hits.agg(F.avg(F.col("top1").cast("double")), F.avg(F.col("topk").cast("double"))).first()
-            row |= {"top1": got[0], "top5_samples": got[1]}
+            row |= {"top1": got[0], "top5_samples": got[1], "train_s": fit / how.folds, "test_s": ask / how.folds}
         if how.mode in ("verification", "all"):
             model = M.train(data, algorithm, threshold=0.5 if algorithm == "eigenfaces" else None)
             row |= E.roc_summary(_scored(model.gallery, algorithm), "distance", "same").first().asDict()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import imaging as I
 from sightline.functions.text import frame_number, is_frame_file, seconds_of
+from sightline.operators.ordered import numbered_whole
 
 from . import codecs
 
@@ -45,7 +46,7 @@ def read_frames(spark: SparkSession, folder: str, fps: float = 1.0) -> DataFrame
     """idx (place among the folder's files by path, from 1), path, frame_idx, ts and the image."""
     files = spark.read.format("binaryFile").load(folder)
     # the list of paths is numbered before any content is read
-    names = files.select("path").withColumn("idx", F.row_number().over(Window.orderBy("path")).cast("bigint"))
+    names = numbered_whole(files.select("path"), ["path"], "idx")
     rows = files.where(is_frame_file(F.col("path"))).join(names, "path")
     number = F.coalesce(frame_number(F.col("path")), F.col("idx"))
     return decoded(

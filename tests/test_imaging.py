@@ -156,3 +156,28 @@ def test_records(spark, tmp_path):
     assert [(r.face_id, r.name) for r in records.read_tracks(spark, str(tmp_path / "whole.json")).orderBy("face_id").collect()] == [(3, None), (4, "n")]
     lines = spark.createDataFrame([(k, v) for k, v in enumerate(["1: Ann", "# 2: no", "", "2 = Bob: x", "1: Ann B", "x: y"])], "line_no int, value string")
     assert {r.face_id: r.name for r in records.parse_labels(lines).collect()} == {1: "Ann B", 2: "Bob: x"}
+
+
+def test_videos_without_a_decoder(spark, tmp_path):
+    import shutil
+
+    from sightline.sources.video import read_videos
+
+    (tmp_path / "a.mp4").write_bytes(b"not a video")
+    rows = read_videos(spark, str(tmp_path)).collect()
+    assert len(rows) == 1 and rows[0].problem
+    if shutil.which("ffmpeg") is None:
+        assert rows[0].problem == "ffmpeg is not installed"
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sightline.scratch import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+    found = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "s3a://b/c/"), sparkContext=context)
+    assert shared_dir(found) == "s3a://b/c"

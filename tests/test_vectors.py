@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sightline.functions import vectors as V
 from sightline.operators import evaluation as E
 from sightline.operators import neighbours as N
+from sightline.operators import ordered as O
 
 PAIRS = [
     ([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 2.0]), ([1.0, 2.0, 3.0], [1.0, 2.0]),
@@ -56,6 +57,38 @@ def test_folds_and_shuffle():
     assert E.XorShift(0).next() == E.XorShift(0x9E3779B97F4A7C15).next()
 
 
+def test_pairs_of():
+    labels = [k // 5 for k in range(30)]
+    pairs = E.pairs_of(labels, 1000, 7)
+    same, other = [p for p in pairs if p[2]], [p for p in pairs if not p[2]]
+    assert len(same) == len(other) == 24 and len(set(other)) == 24 and pairs == E.pairs_of(labels, 1000, 7)
+    assert all(labels[a] == labels[b] and b == a + 1 for a, b, _ in same) and all(labels[a] != labels[b] for a, b, _ in other)
+    assert len(E.pairs_of(labels, 10, 7)) == 10 and not [p for p in E.pairs_of([1] * 5, 100, 1) if not p[2]]
+
+
+def test_two_level_windows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), int(rng.integers(0, 3)), f"n{rng.integers(0, 10**9)}") for k in rng.permutation(500) * 3 - 700]
+    df = spark.createDataFrame(rows, "at bigint, key int, name string").repartition(4)
+    order = sorted(rows)
+    for width in (1, 50, 1 << 20):
+        prev = {r.at: r.previous and r.previous.at for r in O.with_previous(df, ["key"], "at", ["at"], width=width).collect()}
+        nxt = {r.at: r.next and r.next.at for r in O.with_next(df, ["key"], "at", ["at"], width=width).collect()}
+        number = {r.at: r.n for r in O.numbered(df, ["key"], ["at"], "n", width).collect()}
+        for key in range(3):
+            own = [r[0] for r in order if r[1] == key]
+            assert [prev[a] for a in own] == [None, *own[:-1]] and [nxt[a] for a in own] == [*own[1:], None]
+            assert [number[a] for a in own] == list(range(1, len(own) + 1))
+    sums = {r.at: r.s for r in O.running_sums(df, "at", {"s": "key"}, ranges=7).collect()}
+    assert [sums[r[0]] for r in order] == np.cumsum([r[1] for r in order]).tolist()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        whole = {r.name: r.n for r in O.numbered_whole(df, ["name"], "n").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [whole[n] for n in sorted(r[2] for r in rows)] == list(range(1, 501))
+
+
 CASES = {
     "perfect": ([(0.1, True), (0.2, True), (0.3, True), (0.9, False), (1.0, False), (1.1, False)], (1.0, 0.0, 0.0, 1.0)),
     "tied": ([(0.5, True), (0.5, True), (0.5, False), (0.5, False)], (0.5, 1.0, 0.5, 0.0)),
