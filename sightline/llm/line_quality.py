@@ -128,9 +128,11 @@ WITH d AS (
   SELECT rid, doc_id, t, regexp_extract_all(t, '{_W}') AS w,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS lines FROM d
 ), pos AS (
-  SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3
+  SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w
+), win AS (
+  SELECT rid, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY rid ORDER BY i)
 ), tri AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c FROM pos
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS c FROM win WHERE c IS NOT NULL
 ), rep AS (
   SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE c >= 2) GROUP BY rid
 ), ln AS (
