@@ -369,7 +369,8 @@ def near_duplicates(
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """df with one document of each group, that of the smallest id. Rows that repeat an id stay or go together."""
+    """df with one document of each group, that of the smallest id. Rows that repeat an id stay or go together; rows
+    without an id can't be told apart and stay."""
     found = near_duplicates(df, id_col, text_col, width, percent)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_sl_gone")).distinct()
     return df.join(gone, df[id_col] == gone["_sl_gone"], "left_anti")

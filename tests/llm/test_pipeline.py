@@ -64,6 +64,26 @@ def test_stages(spark):
     assert sorted(corpus_pipeline.run(spark, SF).columns) == sorted(seen[4][0])
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, clashing names, no rows: every stage runs and keeps the columns."""
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    words = " ".join(f"word{k}" for k in range(60))
+    rows = [
+        (1, words, "en", "a", 5, "x", 1.0), (2, words, "en", "a", 5, "x", 1.0), (2, words, "en", "a", 5, "x", 1.0), (3, words + " more", None, None, None, None, None),
+        (None, words + " of it", "en", "a", 5, "x", 2.0), (None, None, None, None, None, None, None), (4, None, "en", "b", 0, "y", 3.0), (5, "", "en", "b", 0, "y", 3.0),
+        (6, " \n\t ", "en", "b", 0, "y", 3.0), (7, "z " * 60000, "en", "b", 0, "y", 3.0),
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size double"
+    start = spark.createDataFrame(rows, schema)
+    for docs in (start, start.limit(0), start.where("text IS NULL")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) >= docs.count()
+
+
 def brute_targets(words, weights, budget):
     """Shares by weight; what lies above twice a source's words is shared again among the others."""
     capped = {}
