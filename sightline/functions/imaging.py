@@ -264,6 +264,32 @@ def draw_box(image: np.ndarray, box, face_id: int | None = None) -> np.ndarray:
     return out
 
 
+# three columns by five rows a sign, a bit per dot, the upper left one highest
+GLYPHS = dict(
+    zip(
+        "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ%.-_:",
+        (
+            0o75557, 0o26227, 0o71747, 0o71717, 0o55711, 0o74717, 0o74757, 0o71111, 0o75757, 0o75717, 0o25755, 0o65656, 0o34443, 0o65556, 0o74647, 0o74644,
+            0o34553, 0o55755, 0o72227, 0o11152, 0o55655, 0o44447, 0o57755, 0o65555, 0o25552, 0o65644, 0o25563, 0o65655, 0o34216, 0o72222, 0o55557, 0o55552,
+            0o55775, 0o55255, 0o55222, 0o71247, 0o51245, 0o00002, 0o00700, 0o00007, 0o02020,
+        ),
+    )
+)
+
+
+def draw_text(image: np.ndarray, x: int, y: int, text: str, value: int = 255) -> np.ndarray:
+    """A copy with the text's signs, each three by five dots and one apart, its upper left corner at (x, y); small
+    letters as capitals, unknown signs as gaps, dots beyond the image left out."""
+    out = image.copy()
+    for k, sign in enumerate(text.upper()):
+        bits = GLYPHS.get(sign, 0)
+        for dot in range(15):
+            at = x + 4 * k + dot % 3, y + dot // 3
+            if bits >> (14 - dot) & 1 and 0 <= at[0] < image.shape[1] and 0 <= at[1] < image.shape[0]:
+                out[at[1], at[0]] = value
+    return out
+
+
 def per_image(df: DataFrame, run: Callable[[np.ndarray, dict], list[dict]], schema: str, keep: list[str], data_col: str = "data") -> DataFrame:
     """Rows that `run` makes of each image: run(pixels, row's kept columns) gives dicts of the schema's columns.
 

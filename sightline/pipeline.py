@@ -67,6 +67,8 @@ def saved_files(source: DataFrame, frames: DataFrame, run: Run) -> DataFrame:
             b = f["box"]
             box = (b["x"], b["y"], b["w"], b["h"])
             shown = I.draw_box(shown, box, f["face_id"])
+            if f["face_id"] is not None:
+                shown = I.draw_text(shown, box[0], box[1] - 6, str(f["face_id"]))
             if run.crops:
                 part = I.align(image, box, I.landmarks(box), I.FACE_W, I.FACE_H) if run.align else I.crop(image, *I._padded_box(image.shape, box, run.padding))
                 if part.size:

@@ -103,6 +103,15 @@ def test_alignment():
     assert (drawn[5, 5:15] == sum(I.PALETTE[1]) // 3).all() and np.array_equal(drawn[6:12, 6:14], image[6:12, 6:14])
 
 
+def test_text():
+    blank = np.zeros((9, 12), np.uint8)
+    one = I.draw_text(blank, 1, 2, "1")
+    assert ["".join(".#"[int(v > 0)] for v in row[1:4]) for row in one[2:7]] == [".#.", "##.", ".#.", ".#.", "###"]
+    assert len({I.draw_text(blank, 0, 0, c).tobytes() for c in I.GLYPHS}) == len(I.GLYPHS)
+    assert np.array_equal(I.draw_text(blank, 0, 0, "a"), I.draw_text(blank, 0, 0, "A")) and not I.draw_text(blank, 0, 0, "?").any()
+    assert I.draw_text(blank, -2, 7, "888888").shape == blank.shape
+
+
 def test_codecs():
     for image in IMAGES:
         assert np.array_equal(codecs.read_pgm(codecs.write_pgm(image)), image)
