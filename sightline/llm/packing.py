@@ -2,12 +2,13 @@
 
 A first pass tokenises every text where it lies and keeps a few numbers per piece. Pieces that fill a sequence
 are a sequence each. The others are dealt by hash to groups of about GROUP pieces; each group is packed in one
-go, in hash order. At most `open_bins` bins are open; a bitset has a bit for every free space that some open
+go, in hash order, which is read through a buffer of BUFFER pieces that hands out the longest first: with short
+pieces coming last, they fill what the long ones left. At most `open_bins` bins are open; a bitset has a bit for every free space that some open
 bin has, so the best fit is the lowest set bit at or above the piece's length, and the fullest bin, the lowest
 bit, is closed first when there are too many.
 
 Pieces: a document of more tokens than a sequence holds is cut into full pieces from its end, so the first
-piece takes the remainder. A group leaves at most its open bins partly filled; with GROUP pieces a group this
+piece takes the remainder. A group's last buffer leaves some bins partly filled; with GROUP pieces a group this
 is a fixed share of all sequences at every size.
 
 Token ids: those of byte_bpe_50k.json. A text is encoded by the vocabulary's ranks, which is four times faster
@@ -34,6 +35,8 @@ from .common import written
 #: Pieces that one task packs, about.
 GROUP = 1 << 16
 OPEN_BINS = 4096
+#: Pieces that the stream is sorted by at a time.
+BUFFER = 4096
 
 
 class Encoder:
@@ -132,6 +135,11 @@ def best_fit(lengths, room: int, open_bins: int) -> tuple[list[int], list[int]]:
     return bins, places
 
 
+def buffered(lengths: np.ndarray, buffer: int) -> np.ndarray:
+    """The order of a stream that is sorted by falling length, a buffer at a time; equal lengths keep theirs."""
+    return np.lexsort((-lengths, np.arange(len(lengths)) // buffer))
+
+
 def pack(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -153,6 +161,7 @@ def pack(
 
     def pack_group(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["spread", "row"])
+        rows = rows.iloc[buffered(rows["length"].to_numpy(), BUFFER)].copy()
         bins, places = best_fit(rows["length"].tolist(), room, open_bins)
         # even numbers for packed sequences; whole pieces have odd ones
         rows["sequence_id"] = (np.array(bins, np.int64) * groups + rows["pack_group"].to_numpy(np.int64)) * 2
