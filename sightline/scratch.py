@@ -27,22 +27,45 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended already
             pass
 
     atexit.register(remove)
 
 
+#: By application: the folder of its written tables.
+_FOLDERS: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/sightline-{app}-{uuid.uuid4().hex[:8]}"
+        _remove_at_exit(spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
 def written(df: DataFrame, tag: str = "table") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sightline-{uuid.uuid4().hex}/{tag}"
+    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
+
+    Tables stay until the application ends or `clear` is called: results are lazy and may still read them.
+    """
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path.rsplit("/", 1)[0])
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the application's written tables; results that weren't written yet can't be read after it."""
+    path = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if path is not None:
+        _remove(spark, path)

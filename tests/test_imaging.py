@@ -190,3 +190,16 @@ def test_scratch_needs_a_shared_folder():
         shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
     found = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "s3a://b/c/"), sparkContext=context)
     assert shared_dir(found) == "s3a://b/c"
+
+
+def test_scratch_tables_go_when_cleared(spark):
+    from sightline import scratch
+
+    df = scratch.written(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    import os
+
+    assert df.count() == 5 and os.path.isdir(path)
+    scratch.clear(spark)
+    assert not os.path.exists(path)
+    assert scratch.written(spark.range(3)).count() == 3
