@@ -152,4 +152,5 @@ def find_secrets(
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
+    """A document stands for a repository and its source for the owner."""
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
