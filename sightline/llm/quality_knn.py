@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 Features of a text are counts of hashed tokens: each word's shape (letters by case, digits, other characters as
-they are, runs shortened), its last characters, its pair of shapes with the next word, and whether it repeats
-the word before. The counts are taken over the whole text, as shares, damped by a square root and weighed by
+they are, runs shortened), its last characters, its pair of shapes with the next word, its length, and whether
+it repeats the two words before it. The counts are taken over the whole text, as shares, damped by a square root and weighed by
 rarity in the sample. A truncated singular value decomposition of the labelled sample gives the latent space.
 
 The labelled vectors and the projection go to all tasks; their size is bounded by SAMPLE x RANK and
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .textblocks import U64, blocks, mix64, step, word_bounds, word_hashes
 
 BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER = 1024, 48, 4096, 25, 8
-#: Tokens that a word gives which repeats the one before it.
+#: Tokens that a word gives which repeats the two before it.
 REPEATS = 6
 #: Documents whose counts are held at a time, and documents in a block of the cosine product.
 _DOCS, _BLOCK = 256, 512
@@ -63,7 +63,8 @@ def _token_blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     tail = word_hashes(data, np.maximum(starts, ends - 2), ends, fold=True)
     follows = rows[1:] == rows[:-1]
     pair = mix64(shape[:-1] * U64(3) + shape[1:])[follows]
-    again = rows[1:][follows & (whole[1:] == whole[:-1])]
+    same = follows & (whole[1:] == whole[:-1])
+    again = rows[2:][same[1:] & same[:-1]]  # twice by chance is no sign of anything
     repeats = [np.full(len(again), step(20 + k)) for k in range(REPEATS)]
     length = np.minimum(ends - starts, 24).astype(U64)
     tokens = [shape + step(1), tail + step(2), pair + step(3), length + step(5), *repeats]
