@@ -325,7 +325,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # --- training pages -----------------------------------------------------------------------------------------
 
-TRAIN_PAGES, EPOCHS, SEED = 1500, 24, 11
+TRAIN_PAGES, EPOCHS, SEED = 2500, 16, 11
 
 _NAV = "home about contact products services blog news archive login register search help faq sitemap privacy terms shop cart".split()
 _LABELS = {
