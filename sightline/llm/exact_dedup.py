@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Code points of the text in the range key.
-LEAD = 32
+#: Code points of the text in the range key, and rows of closed runs that are passed on together.
+LEAD, FLUSH = 32, 8192
 
 _REPORT = (
     "doc_id bigint, text_sha256 string, part int, run bigint, run_size bigint, run_keep bigint, "
@@ -73,26 +73,27 @@ def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list[np.ndarray] = []  # of the open run
     nulls: list[np.ndarray] = []
     sha = ""
-
-    def close(edge: bool) -> pa.RecordBatch:
-        own, none = np.concatenate(ids), np.concatenate(nulls)
-        n = len(own)
-        tail = np.zeros(n, bool)
-        tail[-1] = True
-        head = np.zeros(n, bool)
-        head[0] = True
-        keep = None if none[-1] else int(own[-1])
+    closed: list[tuple] = []  # runs to be passed on: ids, nulls, digest, number, whether at an edge
+    rows = 0
+
+    def out() -> pa.RecordBatch:
+        sizes = np.array([len(c[0]) for c in closed])
+        of = np.repeat(np.arange(len(closed)), sizes)
+        last_of, none = np.cumsum(sizes) - 1, np.concatenate([c[1] for c in closed])
+        own = np.concatenate([c[0] for c in closed])
+        ends, opens = np.zeros(len(own), bool), np.zeros(len(own), bool)
+        ends[last_of], opens[last_of - sizes + 1] = True, True
         return pa.record_batch(
             [
                 pa.array(own, pa.int64(), mask=none),
-                pa.array([sha] * n, pa.string()),
-                pa.array(np.full(n, part, np.int32)),
-                pa.array(np.full(n, run, np.int64)),
-                pa.array(np.full(n, n, np.int64)),
-                pa.array([keep] * n, pa.int64()),
-                pa.array(tail),
-                pa.array(np.full(n, edge)),
-                pa.array(head),
+                pa.array([c[2] for c in closed], pa.string()).take(pa.array(of)),
+                pa.array(np.full(len(own), part, np.int32)),
+                pa.array(np.array([c[3] for c in closed], np.int64)[of]),
+                pa.array(sizes.astype(np.int64)[of]),
+                pa.array(own[last_of][of], pa.int64(), mask=none[last_of][of]),
+                pa.array(ends),
+                pa.array(np.array([c[4] for c in closed])[of]),
+                pa.array(opens),
             ],
             names=["doc_id", "text_sha256", "part", "run", "run_size", "run_keep", "run_last", "at_edge", "opens"],
         )
@@ -109,15 +110,20 @@ def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(bounds, bounds[1:]):
             if not same[a]:
                 if ids:
-                    yield close(edge=run == 0)
+                    closed.append((np.concatenate(ids), np.concatenate(nulls), sha, run, run == 0))
+                    rows += len(closed[-1][0])
                     run += 1
+                    if rows >= FLUSH:
+                        yield out()
+                        closed, rows = [], 0
                 ids, nulls = [], []
                 sha = hashlib.sha256(texts[a].as_py().encode()).hexdigest()
             ids.append(values[a:b])
             nulls.append(none[a:b])
         last = texts[batch.num_rows - 1].as_py()
     if ids:
-        yield close(edge=True)
+        closed.append((np.concatenate(ids), np.concatenate(nulls), sha, run, True))
+        yield out()
 
 
 def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
