@@ -34,6 +34,10 @@ def centre(a: Column) -> tuple[Column, Column]:
     return (a["x"] + (a["w"] / 2).cast("int")), (a["y"] + (a["h"] / 2).cast("int"))
 
 
+def corner(a: Column) -> tuple[Column, Column]:
+    return a["x"], a["y"]
+
+
 def centres_near(a: Column, b: Column, gate: int = 100) -> Column:
     (ax, ay), (bx, by) = centre(a), centre(b)
     return (F.abs(ax - bx) <= gate) & (F.abs(ay - by) <= gate)

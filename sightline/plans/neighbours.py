@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import vectors as V
 from sightline.operators import evaluation as E
 from sightline.operators import neighbours as N
+from sightline.operators.ordered import with_next
 from sightline.tables import table
 
 from .registry import query
@@ -28,10 +29,8 @@ WITH p AS (
 def vector_pairs(spark, sf_dir: str):
     """i, j, a, b: each embedding with the next one of its label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.as_doubles(F.col("embedding")).alias("v"))
-    pairs = E.adjacent_pairs(e, "vec_id", "label")
-    a = e.select(F.col("vec_id").alias("i"), F.col("v").alias("a"))
-    b = e.select(F.col("vec_id").alias("j"), F.col("v").alias("b"))
-    return pairs.join(a, "i").join(b, "j").select("i", "j", "a", "b")
+    pairs = with_next(e, ["label"], "vec_id", ["vec_id", "v"]).where("next IS NOT NULL")
+    return pairs.select(F.col("vec_id").alias("i"), F.col("next.vec_id").alias("j"), F.col("v").alias("a"), F.col("next.v").alias("b"))
 
 
 @query("dist_cosine_half", _PAIRS + "SELECT i, j, round((1 - greatest(-1.0, least(1.0, ab / (na * nb)))) / 2, 6) AS distance FROM q")
