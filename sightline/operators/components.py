@@ -24,10 +24,14 @@ def components(edges: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
         small = large.join(low, [*k, "b"])
         moved = small.select(*k, F.col("low").alias("a0"), F.col("a").alias("b")).unionByName(small.select(*k, F.col("low").alias("a0"), "b"))
         after = written(moved.withColumnRenamed("a0", "a").where("a <> b").distinct())
-        deep = after.join(after.select(*k, F.col("b").alias("a")).distinct(), [*k, "a"], "left_semi").limit(1).count()
-        twice = deep or after.groupBy(*k, "b").count().where("count > 1").limit(1).count()
+        # done when no node stands under two others, and none under another has nodes of its own
+        ends = after.select(*k, F.col("b").alias("n"), F.lit(1).alias("under"), F.lit(0).alias("over")).unionByName(
+            after.select(*k, F.col("a").alias("n"), F.lit(0).alias("under"), F.lit(1).alias("over"))
+        )
+        per = ends.groupBy(*k, "n").agg(F.sum("under").alias("under"), F.max("over").alias("over"))
+        more = per.where("under > 1 OR (under > 0 AND over > 0)").limit(1).count()
         now = after
-        if not twice:
+        if not more:
             break
     roots = now.select(*k, "a").distinct().select(*k, F.col("a").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(*k, F.col("b").alias("node"), F.col("a").alias("root")))
