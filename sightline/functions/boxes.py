@@ -38,11 +38,6 @@ def corner(a: Column) -> tuple[Column, Column]:
     return a["x"], a["y"]
 
 
-def centres_near(a: Column, b: Column, gate: int = 100) -> Column:
-    (ax, ay), (bx, by) = centre(a), centre(b)
-    return (F.abs(ax - bx) <= gate) & (F.abs(ay - by) <= gate)
-
-
 def corners_near(a: Column, b: Column, gate: int = 150) -> Column:
     return (F.abs(a["x"] - b["x"]) <= gate) & (F.abs(a["y"] - b["y"]) <= gate)
 

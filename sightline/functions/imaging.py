@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Face size of recognition, grid of the texture histogram, side and cell of the gradient descriptor.
 FACE_W, FACE_H, GRID, HOG_SIDE, HOG_CELL, HOG_BINS = 92, 112, 8, 64, 8, 9
@@ -307,7 +306,3 @@ def per_image(df: DataFrame, run: Callable[[np.ndarray, dict], list[dict]], sche
             yield pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
 
     return df.select(*dict.fromkeys([*keep, "width", "height", "channels", data_col])).mapInPandas(go, schema)
-
-
-def image_struct(width, height, channels, data):
-    return F.struct(width.alias("width"), height.alias("height"), channels.alias("channels"), data.alias("data"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions import boxes as B
 from sightline.functions import imaging as I
 from sightline.functions import text as X
+from sightline.functions import vectors as V
 from sightline.operators import detect as D
 from sightline.operators import evaluation as E
 from sightline.operators import frames as FR
@@ -124,7 +125,7 @@ def benchmark(pixels: DataFrame, textures: DataFrame, how: Benchmark) -> list[di
                 began = time.perf_counter()
                 model = M.train(E.train_of(data, fold, "sample_id"), algorithm, threshold=0.5 if algorithm == "eigenfaces" else None)
                 fit += time.perf_counter() - began
-                metric = {"eigenfaces": "cosine_half", "fisherfaces": "euclidean", "lbph": "chi_square"}[algorithm]
+                metric = V.METRIC_OF[algorithm]
                 found = N.nearest(model.embed(data.where(F.col("fold") == fold)), model.gallery, 5, metric, "sample_id", "vec", "label")
                 began = time.perf_counter()
                 top = written(N.top_hits(found), "hits")
@@ -140,9 +141,7 @@ def benchmark(pixels: DataFrame, textures: DataFrame, how: Benchmark) -> list[di
 
 
 def _scored(gallery: DataFrame, algorithm: str) -> DataFrame:
-    from sightline.functions import vectors as V
-
-    measure = {"eigenfaces": V.cosine_half, "fisherfaces": V.euclidean, "lbph": V.chi_square}[algorithm]
+    measure = V.COLUMNS[V.METRIC_OF[algorithm]]
     same = E.adjacent_pairs(gallery, "sample_id", "label").select("i", "j", F.lit(True).alias("same"))
     pairs = same.unionByName(E.negative_pairs(gallery, "sample_id", "label").select("i", "j", F.lit(False).alias("same")))
     a = gallery.select(F.col("sample_id").alias("i"), F.col("vec").alias("a"))
