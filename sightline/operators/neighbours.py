@@ -55,18 +55,27 @@ def nearest(
     # written: a block is read once per block of the other side, and its true size decides how they meet
     q = written(blocks(queries, id_col, vec_col, label_col, "q_", block), "queries")
     g = written(blocks(gallery, id_col, vec_col, label_col, "g_", block), "gallery")
+    return _nearest_blocks(q, g, k, metric, leave_out_self, places)
 
+
+def _block_distances(row, metric: str, leave_out_self: bool, places: int) -> np.ndarray:
+    """Rounded distances of a row's two blocks; infinite between a row and itself if it is left out."""
+    a = np.frombuffer(row.q_flat).reshape(-1, row.q_width)
+    b = np.frombuffer(row.g_flat).reshape(-1, row.g_width)
+    width = min(row.q_width, row.g_width)
+    # adding zero turns a negative zero into the positive one
+    d = np.floor(matrix_distance(metric, a[:, :width], b[:, :width]) * 10**places + 0.5) / 10**places + 0.0
+    if leave_out_self:
+        d[np.asarray(row.q_ids)[:, None] == np.asarray(row.g_ids)[None, :]] = np.inf
+    return d
+
+
+def _nearest_blocks(q: DataFrame, g: DataFrame, k: int, metric: str, leave_out_self: bool, places: int) -> DataFrame:
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                a = np.frombuffer(row.q_flat).reshape(-1, row.q_width)
-                b = np.frombuffer(row.g_flat).reshape(-1, row.g_width)
-                width = min(row.q_width, row.g_width)
-                # adding zero turns a negative zero into the positive one
-                d = np.floor(matrix_distance(metric, a[:, :width], b[:, :width]) * 10**places + 0.5) / 10**places + 0.0
+                d = _block_distances(row, metric, leave_out_self, places)
                 q_ids, g_ids = np.asarray(row.q_ids), np.asarray(row.g_ids)
-                if leave_out_self:
-                    d[q_ids[:, None] == g_ids[None, :]] = np.inf
                 order = np.lexsort((np.broadcast_to(g_ids, d.shape), d), axis=1)[:, :k]
                 best = np.take_along_axis(d, order, axis=1)
                 real = np.isfinite(best)
@@ -113,16 +122,41 @@ def predict_nearest(found: DataFrame, threshold: float, clamp: bool = False) ->
     return two.select("query_id", "query_label", "label", "best", "second", confidence.alias("confidence"), (F.col("best") < threshold).alias("named"))
 
 
-def predict_mean_distance(queries_to_all: DataFrame, threshold: float = 5000.0) -> DataFrame:
-    """Fisherfaces: nearest label; mean distance to the winning class decides confidence and name."""
-    won = queries_to_all.where("rank = 1").select("query_id", F.col("gallery_label").alias("label"), F.col("distance").alias("best"))
-    mean = (
-        queries_to_all.join(won, "query_id")
-        .where("gallery_label = label")
-        .groupBy("query_id", "query_label", "label", "best")
-        .agg(F.avg("distance").alias("mean_distance"))
-    )
-    return mean.withColumn("confidence", 1 / (1 + F.col("mean_distance") / 100)).withColumn("named", F.col("mean_distance") < threshold)
+def predict_mean_distance(
+    queries: DataFrame,
+    gallery: DataFrame,
+    threshold: float = 5000.0,
+    metric: str = "euclidean",
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    label_col: str = "label",
+    leave_out_self: bool = True,
+    places: int = 6,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Fisherfaces: nearest label; the mean distance to all gallery samples of the winning class decides confidence and name.
+
+    A second pass over the blocks, with each query's winning label, passes on one sum and count per query and block.
+    """
+    q = written(blocks(queries, id_col, vec_col, label_col, "q_", block), "queries")
+    g = written(blocks(gallery, id_col, vec_col, label_col, "g_", block), "gallery")
+    first = _nearest_blocks(q, g, 1, metric, leave_out_self, places)
+    won = written(first.select("query_id", "query_label", F.col("gallery_label").alias("label"), F.col("distance").alias("best")), "won")
+    slim = queries.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(vec_col).alias("v")).join(won.select("query_id", "label"), "query_id")
+    asked = written(blocks(slim, "query_id", "v", "label", "q_", block), "asked")
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                d = _block_distances(row, metric, leave_out_self, places)
+                own = (np.asarray(row.q_labels)[:, None] == np.asarray(row.g_labels)[None, :]) & np.isfinite(d)
+                some = own.any(axis=1)
+                yield pd.DataFrame({"query_id": np.asarray(row.q_ids)[some], "total": np.where(own, d, 0.0).sum(axis=1)[some], "n": own.sum(axis=1)[some]})
+
+    sums = g.crossJoin(asked).mapInPandas(add, "query_id bigint, total double, n bigint")
+    mean = sums.groupBy("query_id").agg((F.sum("total") / F.sum("n")).alias("mean_distance"))
+    got = won.join(mean, "query_id").select("query_id", "query_label", "label", "best", "mean_distance")
+    return got.withColumn("confidence", 1 / (1 + F.col("mean_distance") / 100)).withColumn("named", F.col("mean_distance") < threshold)
 
 
 def vote(found: DataFrame, k: int) -> DataFrame:

@@ -48,6 +48,39 @@ def test_blocks_do_not_change_neighbours(spark):
                 assert [by[(i, k)] for k in (1, 2, 3, 4)] == want
 
 
+def test_mean_distance_takes_the_whole_winning_class(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)).round(2)
+    labels = np.arange(300) % 3  # 100 samples a class, more than any list of nearest ones held
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels))], "vec_id bigint, embedding array<double>, label int").repartition(3)
+    d = np.round(V.matrix_distance("euclidean", x, x), 6)
+    np.fill_diagonal(d, np.inf)
+    for block in (64, 1000):
+        got = N.predict_mean_distance(df.where("vec_id % 20 = 0"), df, threshold=2.5, block=block).collect()
+        assert sorted(r.query_id for r in got) == list(range(0, 300, 20))
+        for r in got:
+            i = r.query_id
+            label = labels[min(range(300), key=lambda j: (d[i, j], j))]
+            own = d[i][(labels == label) & np.isfinite(d[i])]
+            assert len(own) in (99, 100) and r.label == label and r.query_label == labels[i] and r.best == pytest.approx(d[i].min())
+            assert r.mean_distance == pytest.approx(own.mean()) and r.named == (own.mean() < 2.5)
+            assert r.confidence == pytest.approx(1 / (1 + own.mean() / 100))
+
+
+def test_recognizer_averages_the_whole_winning_class(spark):
+    from sightline.operators import models as M
+
+    x = np.random.default_rng(3).normal(size=(240, 3)).round(2)
+    rows = [(i, i % 2, f"n{i % 2}", v.tolist()) for i, v in enumerate(x)]
+    gallery = spark.createDataFrame(rows, "sample_id bigint, label int, name string, vec array<double>")
+    got = M.Recognizer("fisherfaces", None, gallery, 5000.0).predict(gallery.where("sample_id < 5")).collect()
+    d = V.matrix_distance("euclidean", x, x)
+    assert len(got) == 5
+    for r in got:
+        mean = d[r.query_id][np.arange(240) % 2 == r.label].mean()
+        assert r.label == r.query_id % 2 and r.name == f"n{r.label}" and r.confidence == pytest.approx(1 / (1 + mean / 100))
+
+
 def test_folds_and_shuffle():
     folds = E.folds_of([0] * 4 + [1] * 4 + [2] * 4, 4, 42)
     assert [len(f) for f in folds] == [3] * 4 and sorted(sum(folds, [])) == list(range(12))
