@@ -13,7 +13,8 @@ and its weights, a few thousand numbers, go to the tasks.
 What is never text in a page (scripts, styles, comments, markup, form controls) the scanner drops itself.
 
 Defined cases: null html is empty and gives an empty text; a page without blocks gives an empty text; unclosed
-and misnested tags close with their nearest open ancestor; an unclosed comment, script or style ends the page;
+and misnested tags close with their nearest open ancestor; a head also closes at the first tag or text that can't
+stand in it, and a control that has no end tag at the first block; an unclosed comment, script or style ends the page;
 repeated rows give repeated results; a null id or url is passed on.
 """
 
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 ENDS = 8
 # tags whose text is never shown or is a control's
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas head select textarea button option datalist audio video map".split())
+#: Tags that leave a head open.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split()
@@ -51,6 +54,11 @@ WALLS = frozenset("table ul ol dl div article section main aside nav header foot
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+")
+#: Skipped tags that hold markup, and what may stand in one that is never closed; of NESTING, one can hold another.
+_CONTROLS = ("select", "button", "option", "object", "canvas", "datalist", "audio", "video", "map")
+_IN_CONTROL = frozenset({*_CONTROLS, "optgroup", "script", "style", "noscript", "template", "svg", "math", "iframe", "textarea"})
+_NESTING = frozenset(("object", "canvas", "audio", "video", "map"))
+_CONTROL = re.compile(rf"<!--.*?(?:-->|\Z)|<script\b.*?(?:</script|\Z)|<style\b.*?(?:</style|\Z)|<(/?)({'|'.join(_CONTROLS)})(?=[\s/>])", re.DOTALL | re.IGNORECASE)
 _ENDINGS = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.IGNORECASE) for t in ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "title")}
 
 
@@ -63,6 +71,24 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+def _closed_controls(page: str) -> set[int]:
+    """Where the controls begin that have an end tag of their own."""
+    closed: set[int] = set()
+    waiting: dict[str, list[int]] = {t: [] for t in _CONTROLS}
+    for m in _CONTROL.finditer(page):
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if waiting[tag]:
+                closed.add(waiting[tag].pop())
+        else:
+            if tag not in _NESTING:
+                waiting[tag].clear()
+            waiting[tag].append(m.start())
+    return closed
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     blocks: list[Block] = []
@@ -71,6 +97,8 @@ def leaf_blocks(page: str) -> list[Block]:
     is_open: Counter = Counter()
     parts: list[str] = []
     own = {"linked": 0, "links": 0, "skip": 0}
+    closed: set[int] | None = None
+    loose: list[int] = []  # places in the stack of open controls without an end tag
 
     def flush() -> None:
         if parts:
@@ -82,6 +110,8 @@ def leaf_blocks(page: str) -> list[Block]:
             own["linked"] = 0
 
     def take(raw: str) -> None:
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop_to(len(stack) - 1)
         if raw and not own["skip"]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -96,6 +126,8 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 outer.pop()
         del stack[k:]
+        while loose and loose[-1] >= k:
+            loose.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -124,6 +156,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if is_open["head"] and tag not in IN_HEAD:
+            pop_to(next(k for k, (t, _) in enumerate(stack) if t == "head"))
+        if loose and tag not in INLINE and tag not in VOID and tag not in _IN_CONTROL:
+            pop_to(loose[0])
         if tag == "br":
             parts.append(" ")
             continue
@@ -146,6 +182,10 @@ def leaf_blocks(page: str) -> list[Block]:
         words = ()
         if m[3]:
             words = tuple(w.lower() for x in _NAMES.finditer(m[3]) for w in _SPLIT.split(x[2] or x[3] or x[4] or "") if len(w) > 1)
+        if tag in _CONTROLS:
+            closed = _closed_controls(page) if closed is None else closed
+            if m.start() not in closed:
+                loose.append(len(stack))
         stack.append((tag, words[:6]))
         is_open[tag] += 1
         if tag not in INLINE:

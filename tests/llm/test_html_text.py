@@ -29,6 +29,20 @@ def test_scanner():
     assert linked.linked == 2 and [t for t, _ in linked.path] == ["p"]
 
 
+def test_tags_whose_end_is_left_out():
+    body = "<article><h1>One</h1><p>Two</p></article>"
+    for head in ("<head><title>t</title>", "<head><meta charset=utf-8><style>p{}</style><script>x</script>\n", "<head>"):
+        assert texts(f"<html>{head}<body>{body}</html>") == ["One", "Two"]
+        assert texts(f"<html>{head}{body}</html>") == ["One", "Two"] == texts(f"<html>{head}</head><body>{body}")
+    assert texts("<head><title>t</title>plain <b>text</b>") == ["plain text"]
+    for control in ("<select><option>a<option>b", "<button>ok", "<option>a", "<object data=x>a", "<video src=x>a", "<datalist><option>a"):
+        assert texts(f"<div>{control}{body}</div>z") == ["One", "Two", "z"], control
+        assert texts(f"<div>{control}{body}<button>x</button><select><option>y</select></div>") == ["One", "Two"], control
+    # with an end tag of its own, a control keeps all it holds
+    assert texts("<button><div>no</div></button><p>a") == ["a"] == texts("<object><object><p>no</object><p>no</object><p>a")
+    assert texts("<select><option>a<option>b<div>no</div></select><p>a") == ["a"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = h.Labeller.fresh(1, width=5, hidden=3)
