@@ -1,14 +1,14 @@
 """Main text of html pages by a recurrent block labeller.
 
 A tolerant scanner turns a page into its sequence of leaf blocks: the text between block-level tags, with the
-path of open tags above it. Each block gets a vector of tag-path features (hashed tag names and class and id
-words, from the root and close by) and hashed-word features (its words, their number, its share of link text,
+sum of all open tags above it. Each block gets a vector of tag-path features (hashed tag names and class, id and
+role words of every open tag, which the scanner adds up as tags open and close; the two nearest tags once more) and hashed-word features (its words, their number, its share of link text,
 its punctuation). A bidirectional LSTM in numpy reads the whole sequence, so that a block is judged by what
 stands before and after it, and gives each block the probability of being main text.
 
 Training is self-supervised: a seeded grammar writes pages of many layouts, with known main blocks, out of
-random words; the network is trained on them once in a driver process (TRAIN_PAGES pages, EPOCHS epochs; seconds)
-and its weights, a few thousand numbers, go to the tasks.
+random words; the network is trained on them once in a driver process (TRAIN_PAGES pages, EPOCHS epochs; up to
+a minute) and its weights, some 40,000 numbers, go to the tasks.
 
 What is never text in a page (scripts, styles, comments, markup, form controls) the scanner drops itself.
 
@@ -33,8 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Open tags that a block's path has from the root, and as many from close by.
-ENDS = 8
 # tags whose text is never shown or is a control's
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas head select textarea button option datalist audio video map".split())
 #: Tags that leave a head open.
@@ -63,12 +61,13 @@ _ENDINGS = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.IGNORECASE) for t in ("sc
 
 
 class Block:
-    """path: of (tag, class and id words) from the root; text: decoded, white space as one space; linked: characters in links."""
+    """path: the two nearest (tag, class and id words); above: the hashed sum of all open tags, of PATH_BUCKETS numbers;
+    text: decoded, white space as one space; linked: characters in links."""
 
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("path", "above", "text", "linked")
 
-    def __init__(self, path, text, linked):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path, above, text, linked):
+        self.path, self.above, self.text, self.linked = path, above, text, linked
 
 
 def _closed_controls(page: str) -> set[int]:
@@ -95,6 +94,8 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple]] = []
     outer: list[tuple[str, tuple]] = []  # the stack without inline tags
     is_open: Counter = Counter()
+    running = [0] * PATH_BUCKETS  # of all tags in outer
+    sums: dict[bytes, bytes] = {}  # blocks in like places share one
     parts: list[str] = []
     own = {"linked": 0, "links": 0, "skip": 0}
     closed: set[int] | None = None
@@ -104,8 +105,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = outer if len(outer) <= 2 * ENDS else outer[:ENDS] + outer[-ENDS:]
-                blocks.append(Block(tuple(path), text, own["linked"]))
+                above = np.array(running, np.float32)
+                above = (np.sign(above) * np.log2(1 + np.abs(above))).astype(np.float16).tobytes()
+                blocks.append(Block(tuple(outer[-2:]), sums.setdefault(above, above), text, own["linked"]))
             parts.clear()
             own["linked"] = 0
 
@@ -118,13 +120,19 @@ def leaf_blocks(page: str) -> list[Block]:
             if own["links"]:
                 own["linked"] += len(text)
 
+    def count(tag: str, words: tuple, by: int) -> None:
+        for key in (f"t:{tag}", *(f"w:{w}" for w in words)):
+            k, sign = _bucket(key, PATH_BUCKETS)
+            running[k] += by if sign > 0 else -by
+
     def pop_to(k: int) -> None:
-        for tag, _ in stack[k:]:
+        for tag, words in stack[k:]:
             own["skip"] -= tag in SKIPPED
             own["links"] -= tag == "a"
             is_open[tag] -= 1
             if tag not in INLINE:
                 outer.pop()
+                count(tag, words, -1)
         del stack[k:]
         while loose and loose[-1] >= k:
             loose.pop()
@@ -186,10 +194,11 @@ def leaf_blocks(page: str) -> list[Block]:
             closed = _closed_controls(page) if closed is None else closed
             if m.start() not in closed:
                 loose.append(len(stack))
-        stack.append((tag, words[:6]))
+        stack.append((tag, words))
         is_open[tag] += 1
         if tag not in INLINE:
             outer.append(stack[-1])
+            count(tag, words, 1)
         own["skip"] += tag in SKIPPED
         own["links"] += tag == "a"
     flush()
@@ -198,7 +207,7 @@ def leaf_blocks(page: str) -> list[Block]:
 
 # --- features -----------------------------------------------------------------------------------------------
 
-PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 64, 32, 10
+PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 256, 32, 10
 WIDTH = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
 HIDDEN = 16
 
@@ -209,17 +218,11 @@ def _bucket(word: str, buckets: int) -> tuple[int, float]:
     return h % buckets, 1.0 if h >> 31 else -1.0
 
 
-@functools.lru_cache(maxsize=1 << 12)
-def _path_features(path: tuple) -> np.ndarray:
-    out = np.zeros(PATH_BUCKETS, np.float32)
-    for depth, (tag, words) in enumerate(path):
-        near = len(path) - 1 - depth
-        keys = [f"t:{tag}"] + [f"w:{w}" for w in words]
-        if near < 2:
-            keys.append(f"n{near}:{tag}")
-        for key in keys:
-            k, sign = _bucket(key, PATH_BUCKETS)
-            out[k] += sign
+def _path_features(b: Block) -> np.ndarray:
+    out = np.frombuffer(b.above, np.float16).astype(np.float32)
+    for near, (tag, _) in enumerate(reversed(b.path)):
+        k, sign = _bucket(f"n{near}:{tag}", PATH_BUCKETS)
+        out[k] += sign
     return out
 
 
@@ -228,7 +231,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         words = b.text.split()
         n = len(words)
-        out[i, :PATH_BUCKETS] = _path_features(b.path)
+        out[i, :PATH_BUCKETS] = _path_features(b)
         own = out[i, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS]
         for w in words if n <= 12 else ():  # the words of short blocks tell furniture from text
             k, sign = _bucket(w.lower().strip(".,:;!?"), WORD_BUCKETS)
@@ -365,7 +368,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # --- training pages -----------------------------------------------------------------------------------------
 
-TRAIN_PAGES, EPOCHS, SEED = 2500, 16, 11
+TRAIN_PAGES, EPOCHS, SEED = 5000, 10, 11
 
 _NAV = "home about contact products services blog news archive login register search help faq sitemap privacy terms shop cart".split()
 _LABELS = {
@@ -381,11 +384,16 @@ _LABELS = {
 }
 
 
+#: Class words that say how a tag looks.
+_LOOKS = """flex grid row col px py mt mb my mx pt pb text bg rounded shadow wide center md lg sm xl hover border items justify between gap font semibold
+container wrapper inner outer block relative absolute full max min auto overflow hidden transition duration white gray dark""".split()
 class _Writer:
     """Writes one page; main blocks are remembered by their text."""
 
     def __init__(self, rnd: random.Random) -> None:
         self.rnd, self.main = rnd, []
+        # some pages stand deep in wrappers, some name looks beside meanings
+        self.depth, self.looks = rnd.choice([0, 0, 2, 6, 24]), rnd.choice([0, 0, 3, 9])
         letters = rnd.choice(["etaoinshrdlu", "enisratdhulgäöü", "eaosrnidltcñó", "esaitnrulodéè"])
         self.lexicon = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(120)]
         # what a text looks like says nothing about whether it is main text
@@ -410,12 +418,25 @@ class _Writer:
     def prose(self, n: int) -> str:
         return " ".join(self.sentence() for _ in range(n))
 
+    def named(self, word: str) -> str:
+        """A class attribute's words: looks before and after the meaning."""
+        rnd = self.rnd
+        looks = [rnd.choice(_LOOKS) for _ in range(rnd.randint(0, self.looks))]
+        k = rnd.randint(0, len(looks))
+        return " ".join([*looks[:k], word, *looks[k:]]).strip()
+
+    def deep(self, body: str) -> str:
+        """Within wrappers that say nothing."""
+        rnd = self.rnd
+        n = rnd.randint(0, self.depth)
+        return "".join(f'<div class="{self.named("")}">' if self.looks or rnd.random() < 0.2 else "<div>" for _ in range(n)) + body + "</div>" * n
+
     def name(self, kind: str) -> str:
         rnd = self.rnd
         if rnd.random() < 0.15:
             return ""
         word = rnd.choice(_LABELS[kind])
-        return f' {rnd.choice(["class", "class", "id"])}="{word}"'
+        return f' {rnd.choice(["class", "class", "id"])}="{self.named(word)}"'
 
     def junk(self, kind: str) -> str:
         """Text that could be anyone's: furniture that only its place gives away."""
@@ -444,7 +465,7 @@ class _Writer:
         rnd = self.rnd
         semantic = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         tag = semantic if semantic and rnd.random() < 0.6 else rnd.choice(["div", "section", "div"])
-        attrs = self.name(kind) if tag == semantic or rnd.random() < 0.3 else f' class="{rnd.choice(_LABELS[kind])}"'
+        attrs = self.name(kind) if tag == semantic or rnd.random() < 0.3 else f' class="{self.named(rnd.choice(_LABELS[kind]))}"'
         if kind == "nav":
             body = self.links()
         elif kind == "header":
@@ -461,7 +482,7 @@ class _Writer:
             body = f"<label>{self.words(1, 3)}</label><input name=q><p>{self.junk(kind)}</p><button>{self.words(1, 2)}</button>"
         else:
             body = rnd.choice([self.junk(kind), f"<p>{self.junk(kind)}</p>", f"<p>{self.junk(kind)}</p><a href=#>{self.words(1, 2)}</a>"])
-        return f"<{tag}{attrs}>{body}</{tag}>" + rnd.choice(["", "\n"])
+        return self.deep(f"<{tag}{attrs}>{self.deep(body)}</{tag}>") + rnd.choice(["", "\n"])
 
     def page(self) -> str:
         rnd = self.rnd
@@ -471,7 +492,7 @@ class _Writer:
         out = ["<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style></head><body>" if rnd.random() < 0.8 else ""]
         out += [self.furniture(k) for k in before]
         tag = rnd.choice(["article", "article", "article", "main", "div", "section"])
-        attrs = f' class="{rnd.choice(_LABELS["main"])}"' if tag in ("div", "section") or rnd.random() < 0.3 else ""
+        attrs = f' class="{self.named(rnd.choice(_LABELS["main"]))}"' if tag in ("div", "section") or rnd.random() < 0.3 else ""
         body = []
         if rnd.random() < 0.85:
             body.append(self.say(rnd.choice(["h1", "h1", "h2"]), self.words(2, 9).capitalize(), 1.0))
@@ -491,7 +512,7 @@ class _Writer:
                 body.append(self.furniture(rnd.choice(["ad", "aside", "notice", "ad", "form"])))
         if rnd.random() < 0.25:
             body.append(self.furniture("comments"))
-        wrapped = f"<{tag}{attrs}>" + "".join(body) + f"</{tag}>"
+        wrapped = self.deep(f"<{tag}{attrs}>" + self.deep("".join(body)) + f"</{tag}>")
         if rnd.random() < 0.4:
             wrapped = f"<{rnd.choice(['div', 'main', 'div'])}{attrs if rnd.random() < 0.5 else ''}>{wrapped}</div>"
         out += [wrapped, *(self.furniture(k) for k in after), "</body></html>"]
@@ -539,8 +560,8 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
 # --- the operator -------------------------------------------------------------------------------------------
 
 _SCHEMA = "page_id bigint, url string, text string, n_chars bigint, n_blocks int, n_main int"
-#: Characters of html whose blocks are held at a time.
-STEP_CHARS = 1 << 21
+#: Characters of html whose blocks are held at a time; a block counts as BLOCK_CHARS at least.
+STEP_CHARS, BLOCK_CHARS = 1 << 21, 128
 
 
 def _extract(shared):
@@ -562,7 +583,7 @@ def _extract(shared):
             for page in batch.column("html"):
                 raw = page.as_py() or ""
                 held.append(leaf_blocks(raw))
-                size += len(raw)
+                size += max(len(raw), BLOCK_CHARS * len(held[-1]))
                 if size > STEP_CHARS:
                     settle()
                     size = 0

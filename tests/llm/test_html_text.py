@@ -79,6 +79,48 @@ def test_unseen_pages():
     assert right.mean() > 0.99
 
 
+def main_of(page):
+    blocks = h.leaf_blocks(page)
+    return [b.text for b, p in zip(blocks, h.trained().chances([h.features(blocks)])[0]) if p >= 0.5]
+
+
+STORY = [
+    "The old bridge over the river was closed for three years before the city found the money to build it again.",
+    "Many people in the village said that they had never seen so much water, and the farmers lost most of the summer's work.",
+    "A study by the school of science found that the winter would be long, and the army was asked to help.",
+    "In the end the church and the market stood dry, and the children went back to school in the first days of the new year.",
+]
+
+
+def path_of(page):
+    return h.features(h.leaf_blocks(page))[0][: h.PATH_BUCKETS]
+
+
+def test_every_ancestor_and_class_word_counts():
+    plain = path_of("<div>" * 30 + "<p>a")
+    for k in (0, 9, 15, 21, 29):
+        assert not np.allclose(plain, path_of("<div>" * k + '<div class="comments">' + "<div>" * (29 - k) + "<p>a")), k
+        assert not np.allclose(plain, path_of("<div>" * k + "<aside>" + "<div>" * (29 - k) + "<p>a")), k
+    looks = "flex px-2 mt-4 text-sm rounded shadow-lg md border"
+    assert not np.allclose(path_of(f'<div class="{looks} sidebar"><p>a'), path_of(f'<div class="{looks}"><p>a'))
+    assert np.allclose(path_of("<p>a"), path_of("<div class=x1>" * 40 + "</div>" * 40 + "<p>a"))  # what is closed is gone
+    blocks = h.leaf_blocks("<div class=wide>" * 20000 + "<p>a")
+    assert len(blocks[0].path) == 2 and len(blocks[0].above) == 2 * h.PATH_BUCKETS
+
+
+def test_deep_and_late_markers():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    deep = lambda x, n: "<div>" * n + x + "</div>" * n
+    said = "<p>The summer was long and the water low, as the people of the village know.</p>"
+    for marked in ('<aside class="related">', '<nav class="menu">', '<footer class="footer">'):
+        tag = marked[1:].split()[0]
+        page = f"<body>{deep('<article>' + deep(story, 10) + '</article>', 10)}{deep(marked + deep(said, 10) + f'</{tag}>', 10)}</body>"
+        assert main_of(page) == STORY, marked
+    looks = "flex grid text border rounded shadow wide"
+    page = f'<body><article>{story}</article><div class="{looks} comments"><div>{said}</div></div></body>'
+    assert main_of(page) == STORY
+
+
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in h.extract_text(pages).collect()}
