@@ -10,7 +10,9 @@ Base kinds: email, ip, card (13 to 19 digits that pass Luhn), phone (9 to 15 dig
 digits hold, or a number of 6 to 20 digits, after a cue such as "IBAN" or "account no.").
 
 Defined cases: null text is empty and has no spans, and base_sha256 is then that of the empty string; a null id
-is passed on; repeated rows give repeated results. Positions are code points, ends exclusive.
+is passed on; repeated rows, and rows that tie in id or text, are each scanned and give a row each; a very long
+text, or a very long run of digits, letters or dots in it, costs its own length; an empty table gives an empty
+result; other columns are ignored, whatever their names. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ class Finder:
                     out["address"].append((at, address_at))
             elif kind == "url":
                 start = at
-                while start > max(address_at, at - 16) and text[start - 1].isascii() and text[start - 1].isalpha():
+                while start > address_at and text[start - 1].isascii() and text[start - 1].isalpha():
                     start -= 1
                 if start < at and (m := _AUTHORITY.match(text, last + 1)):
                     address_at = m.end()
@@ -136,7 +138,7 @@ class Finder:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in four)):
                 out.append((at, end))
             at = end + 1
 
