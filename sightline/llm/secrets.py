@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found in each text and known by a hash of their value. The hashes are counted over the whole
-corpus by distinct repositories and owners. A value that several owners share is a copied example; one that
-few share and that looks random is a live credential, and gets a span of kind `live` beside its base span.
+corpus by distinct repositories and owners. A value that COPIED_OWNERS owners share, or that COPIED_REPOS
+repositories hold whoever owns them, is a copied example; one that few share and that looks random is a live
+credential, and gets a span of kind `live` beside its base span.
 
 The texts are read once: what goes on is a few dozen bytes per candidate. The counts are summed before each
 shuffle (repository, then owner, then value), so a value that a third of all rows hold costs no more than
@@ -11,7 +12,9 @@ another; the join back to the candidates is on small rows, which AQE can split.
 Base kinds: assign, access, hex. Added: `live`, and `key` for the header line of a private key block.
 
 Defined cases: null text is empty and has no spans; null owners or repositories count as one owner or
-repository; repeated rows are separate rows with the same result; a null id is passed on.
+repository; repeated rows, and rows that tie in id, are separate rows with the same result, and count as one
+repository; a very long text costs its own length and its candidates; a null id is passed on; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 KINDS = ("assign", "access", "hex", "key", "live")
-#: A value that so many owners hold is an example that was copied.
-COPIED_OWNERS = 3
+#: A value that so many owners, or so many repositories of any owners, hold is an example that was copied.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
 #: Bits a character that a live value has at least, and words that mark a placeholder.
 LIVE_BITS = 2.5
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "sample", "redacted", "xxxx", "1234567")
@@ -106,6 +109,7 @@ def find_secrets(
     owner_col: str = "source",
     repo_col: str = "doc_id",
     copied_owners: int = COPIED_OWNERS,
+    copied_repos: int = COPIED_REPOS,
 ) -> DataFrame:
     """Per row: base counts, digest of the base spans, all spans, and how many candidates are live or copied."""
     slim = df.select(
@@ -121,8 +125,9 @@ def find_secrets(
         each.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     )
+    copied = (F.col("owners") >= copied_owners) | (F.col("repos") >= copied_repos)
     judged = each.select("row", "at", "kind", "until", "value_at", "hash", "looks").join(held, "hash").select(
-        "row", "at", "kind", "until", "value_at", (F.col("owners") >= copied_owners).alias("copied"), "looks", "owners", "repos"
+        "row", "at", "kind", "until", "value_at", copied.alias("copied"), "looks", "owners", "repos"
     )
     live = ~F.col("copied") & F.col("looks")
     per_row = judged.groupBy("row").agg(
