@@ -16,14 +16,18 @@ falls into it. Two odd sketches never differ in more bits than the sets have ele
 some thousand shingles this filter loses nothing and lets hardly a pair through that is not a link. So no link
 between different texts that share a bucket is lost, and linked groups cost as many pairs as they have members.
 
-Verification: the texts of both sides are read again and compared by their full shingle sets.
+Verification: the texts of both sides are read again and compared by their full shingle sets, a shingle being known
+by a 64-bit hash of its words (two of a pair's shingles are taken for one with a probability of n^2 / 2^65).
 
 Misses: two texts of similarity exactly 0.8 share no bucket with probability (1 - 0.8^5)^32 = 3e-6, and the
 sketches, 5.5 standard deviations wide, drop one in a million.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and keeps its own id; fewer words
-than a shingle make one shingle of the whole sequence; of repeated ids the rows are separate rows; a null id
-takes part in links and is never the smallest; an empty table gives an empty result; other columns are ignored.
+than a shingle make one shingle of the whole sequence; a very long text costs its own length, and a task holds
+its set; of repeated ids the rows are separate rows, be their texts equal or not, and of rows that tie in id
+`near_duplicates` reports all as kept where one is; a null id takes part in links and is never the smallest, and
+many rows without one are as quickly told apart as rows with one; an empty table gives an empty result; other
+columns are ignored (or carried, by `drop_near_duplicates`), whatever their names.
 """
 
 from __future__ import annotations
@@ -108,13 +112,18 @@ def odd_sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n_sets, CELLS), axis=1).view(U64)
 
 
-_SIGNED = "doc_id bigint, n bigint, k0 bigint, k1 bigint, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>, odd array<bigint>"
+_SIGNED = "doc_id bigint, digest binary, n bigint, k0 bigint, k1 bigint, s0 bigint, s1 bigint, s2 bigint, bands array<bigint>, odd array<bigint>"
 
 
 def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), _longs(x.reshape(-1)))
 
 
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text, null like the empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def _sign(width: int, bands: int, rows: int):
     m = bands * rows
     if m > 192:
@@ -122,7 +131,7 @@ def _sign(width: int, bands: int, rows: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc_id")
+            doc, digest = batch.column("doc_id"), batch.column("digest")
             for a, b, values, offsets in shingle_sets(batch.column("text"), width):
                 slots = superminhash(values, offsets, m)
                 keys = set_keys(values, offsets)
@@ -136,8 +145,8 @@ def _sign(width: int, bands: int, rows: int):
                         own = mix64(own * U64(3) + slots[:, k * rows + r])
                     found[:, k] = own
                 yield pa.record_batch(
-                    [doc.slice(a, b - a), pa.array(np.diff(offsets)), *map(pa.array, keys), *(_longs(sketch[:, k]) for k in range(3)), _lists(found), _lists(odd_sketches(values, offsets))],
-                    names=["doc_id", "n", "k0", "k1", "s0", "s1", "s2", "bands", "odd"],
+                    [doc.slice(a, b - a), digest.slice(a, b - a), pa.array(np.diff(offsets)), *map(pa.array, keys), *(_longs(sketch[:, k]) for k in range(3)), _lists(found), _lists(odd_sketches(values, offsets))],
+                    names=["doc_id", "digest", "n", "k0", "k1", "s0", "s1", "s2", "bands", "odd"],
                 )
 
     return sign
@@ -241,10 +250,16 @@ def _similar(width: int, percent: int):
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among pairs (a < b). Only the texts of the pairs' classes go through the joins."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = ends.join(classes.select("cid", "doc", "k0", "k1"), "cid")
-    texts = written(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc"])).select("cid", "k0", "k1", "text"), "texts")
+    """The links among pairs (a < b). Only the texts of the pairs' classes go through the joins.
+
+    A class's text is found by the id and the digest of one of its rows, so neither many rows without an id nor many
+    texts under one id meet; rows that repeat both are made one.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "doc", "digest", "k0", "k1"), "cid")
+    here = docs["doc_id"].eqNullSafe(wanted["doc"]) & (docs["digest"] == wanted["digest"])
+    texts = written(docs.join(wanted, here).select("cid", "k0", "k1", "text"), "texts")
+    if texts.groupBy("cid").count().where("count > 1").limit(1).count():
+        texts = written(texts.dropDuplicates(["cid"]), "texts")
     a = texts.select(F.col("cid").alias("a"), F.col("k0").alias("a0"), F.col("k1").alias("a1"), F.col("text").alias("text_a"))
     b = texts.select(F.col("cid").alias("b"), F.col("k0").alias("b0"), F.col("k1").alias("b1"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "a0", "a1", "text_a", "b", "b0", "b1", "text_b")
@@ -319,24 +334,21 @@ def _across_groups(members: DataFrame, comp: DataFrame, sketches: DataFrame, tes
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def near_duplicates(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 80,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id, kept."""
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(df: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """One row per row of df: doc_id, digest, n, component_id, and `first`, whether the row is its group's first by id (null
+    last), then digest. Rows of an empty set are groups of their own."""
+    text = F.col(text_col)
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), _digest(text).alias("digest"), text.alias("text"))
     room = _sketch_room(bands * rows, percent)
     signed = written(docs.mapInArrow(_sign(width, bands, rows), _SIGNED), "signed")
     classes = written(
         signed.where("n > 0")
         .groupBy("k0", "k1")
-        .agg(F.min("doc_id").alias("doc"), F.first(F.struct("n", "s0", "s1", "s2", "bands", "odd")).alias("x"))
-        .select("k0", "k1", "doc", "x.*", F.monotonically_increasing_id().alias("cid")),
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), "digest")).alias("low"),
+            F.first(F.struct("n", "s0", "s1", "s2", "bands", "odd")).alias("x"),
+        )
+        .select("k0", "k1", "low.doc", "low.digest", "x.*", F.monotonically_increasing_id().alias("cid")),
         "classes",
     )
     in_buckets = classes.select(F.explode("bands").alias("bucket"), "cid", "n", "s0", "s1", "s2")
@@ -353,27 +365,53 @@ def near_duplicates(
             _verified(more, classes, docs, width, percent)
         )
         comp = written(components(links), "groups")
-    named = comp.join(classes.select("cid", "doc"), "cid").groupBy("root").agg(F.min("doc").alias("component_id"))
+    low = F.struct(F.col("doc").isNull().alias("none"), "doc", "digest")
+    named = comp.join(classes.select("cid", "doc", "digest"), "cid").groupBy("root").agg(F.min(low).alias("low"))
     by_class = (
-        classes.select("k0", "k1", "doc", "cid")
-        .join(comp.join(named, "root").select("cid", "component_id"), "cid", "left")
-        .select("k0", "k1", F.coalesce("component_id", "doc").alias("component_id"))
+        classes.select("k0", "k1", "cid", low.alias("own"))
+        .join(comp.join(named, "root").select("cid", "low"), "cid", "left")
+        .select("k0", "k1", F.coalesce("low", "own").alias("low"))
     )
-    full = signed.where("n > 0").select("doc_id", "n", "k0", "k1").join(by_class, ["k0", "k1"], "left")
-    empty = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return (
-        full.select("doc_id", "n", "component_id")
-        .unionByName(empty)
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = signed.where("n > 0").select("doc_id", "digest", "n", "k0", "k1").join(by_class, ["k0", "k1"], "left")
+    is_first = F.col("doc_id").eqNullSafe(F.col("low.doc")) & (F.col("digest") == F.col("low.digest"))
+    empty = signed.where("n = 0").select("doc_id", "digest", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return full.select("doc_id", "digest", "n", F.col("low.doc").alias("component_id"), is_first.alias("first")).unionByName(empty)
+
+
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id, kept."""
+    return _grouped(df, id_col, text_col, width, percent, bands, rows).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """df with one document of each group, that of the smallest id. Rows that repeat an id stay or go together; rows
-    without an id can't be told apart and stay."""
-    found = near_duplicates(df, id_col, text_col, width, percent)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_sl_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_sl_gone"], "left_anti")
+    """df with one row of each group: that of the smallest id (null last), of one id that of the smallest digest, and any one
+    of rows that repeat both. Rows are told apart by id and digest, so distinct texts under one id, or without one, are
+    judged each by itself. Rows of an empty set stay."""
+    found = written(_grouped(df, id_col, text_col, width, percent, BANDS, ROWS).select("doc_id", "digest", "n", "first"), "judged")
+    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    at = {c: F.col(f"c{i}") for i, c in reversed(list(enumerate(df.columns)))}
+    keyed = renamed.withColumns({"_sl_id": at[id_col].cast("bigint"), "_sl_digest": _digest(at[text_col])})
+
+    def same_row(other: DataFrame) -> Column:
+        return keyed["_sl_id"].eqNullSafe(other["doc_id"]) & (keyed["_sl_digest"] == other["digest"])
+
+    gone = found.where("NOT first").select("doc_id", "digest").distinct()
+    left = keyed.join(gone, same_row(gone), "left_anti")
+    several = written(found.where("first AND n > 0").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"), "several")
+    if several.limit(1).count():
+        once = left.join(several, same_row(several), "left_semi").dropDuplicates(["_sl_id", "_sl_digest"])
+        left = left.join(several, same_row(several), "left_anti").unionByName(once)
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

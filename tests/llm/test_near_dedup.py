@@ -81,6 +81,36 @@ def test_awkward_tables(spark):
     assert nd.drop_near_duplicates(spark.createDataFrame([(4, "a b c d e f", "s"), (2, "A b c d e f", "t")], "doc_id bigint, text string, gone string")).collect()[0].doc_id == 2
 
 
+def test_distinct_texts_without_ids_or_under_one(spark):
+    """Near pairs whose rows have no id, or all the same one, are found among themselves in a time that grows with the rows."""
+    import time
+
+    rnd = random.Random(6)
+    texts = []
+    for k in range(1500):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(40)]
+        texts += [" ".join(base), " ".join(base[:-1] + [f"end{k}"])]
+    took = []
+    for own in (texts[:600], texts):
+        rows = [(None if k < len(own) // 2 else 7, t, "g") for k, t in enumerate(own)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
+        began = time.perf_counter()
+        kept = nd.drop_near_duplicates(df).collect()
+        took.append(time.perf_counter() - began)
+        assert len(kept) == len(own) // 2 and len({r.text.rsplit(" ", 1)[0] for r in kept}) == len(kept)
+    assert took[1] < 3 * took[0] + 10
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(5, words, "a"), (5, words, "b"), (5, words + " x", "c"), (5, "another text of its own words here", "d"), (None, words, "e"), (9, words + " x y", "f"),
+            (None, None, "g"), (None, "", "h"), (5, "", "i"), (3, "unlike " + " ".join(f"v{k}" for k in range(20)), "j"), (6, "w " * 200_000, "k"), (4, "w " * 200_001, "l")]
+    got = nd.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, first string")).collect()
+    group = [r for r in got if r.text and r.text.startswith("w0")]
+    assert len(group) == 1 and group[0].doc_id == 5
+    assert {r.first for r in got} - {group[0].first} == {"d", "g", "h", "i", "j", "l"}
+
+
 def test_groups_in_one_bucket_are_compared_across(spark):
     """Links that a bucket's first class has no part in are found by the second step; far sets aren't paired."""
     rng = np.random.default_rng(2)
