@@ -2,37 +2,44 @@
 
 A tolerant scanner turns a page into its sequence of leaf blocks: the text between block-level tags, with the
 sum of all open tags above it. Each block gets a vector of tag-path features (hashed tag names and class, id and
-role words of every open tag, which the scanner adds up as tags open and close; the two nearest tags once more) and hashed-word features (its words, their number, its share of link text,
-its punctuation). A bidirectional LSTM in numpy reads the whole sequence, so that a block is judged by what
+role words of every open tag, which the scanner adds up as tags open and close; the two nearest tags once more) and
+hashed-word features (all its words as a unit vector, their number, its share of link text, its punctuation). A bidirectional LSTM in numpy reads the whole sequence, so that a block is judged by what
 stands before and after it, and gives each block the probability of being main text.
 
 Training is self-supervised: a seeded grammar writes pages of many layouts, with known main blocks, out of
-random words; the network is trained on them once in a driver process (TRAIN_PAGES pages, EPOCHS epochs; up to
-a minute) and its weights, some 40,000 numbers, go to the tasks.
+random words, the commonest words of four languages and what page furniture says in them; the network is trained
+on them in the driver (TRAIN_PAGES pages, EPOCHS epochs; one to two minutes) and its weights, some 120,000 numbers,
+go to the tasks. With a `weights` folder they are trained once for all sessions that share it.
 
 What is never text in a page (scripts, styles, comments, markup, form controls) the scanner drops itself.
 
 Defined cases: null html is empty and gives an empty text; a page without blocks gives an empty text; unclosed
 and misnested tags close with their nearest open ancestor; a head also closes at the first tag or text that can't
-stand in it, and a control that has no end tag at the first block; an unclosed comment, script or style ends the page;
-repeated rows give repeated results; a null id or url is passed on.
+stand in it, and a control that has no end tag at the first block; an unclosed comment, script, style or tag ends
+the page; a very long or deep page is read in a time that is linear in it, and a task holds one such page's blocks;
+repeated rows, and rows that tie in id or url, give a row each; a null id or url is passed on; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import random
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+from .textblocks import U64, word_bounds, word_hashes
+
 # tags whose text is never shown or is a control's
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas head select textarea button option datalist audio video map".split())
 #: Tags that leave a head open.
@@ -49,7 +56,11 @@ CLOSES = {
 #: Containers through which CLOSES does not reach.
 WALLS = frozenset("table ul ol dl div article section main aside nav header footer body form blockquote figure".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+#: What a "<" may begin: a comment, a tag's name, or a declaration; anything else is text.
+_MARK = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|</?([A-Za-z][^\s/>]*)|<(?:[!?]|/[^\sA-Za-z])[^>]*(?:>|\Z)", re.DOTALL)
+_IN_TAG = re.compile(r"[>=]")
+_VALUE = re.compile(r"\s*([\"'])")
+_LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9A-Fa-f]{7,});?")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _SPLIT = re.compile(r"[^A-Za-z]+")
 #: Skipped tags that hold markup, and what may stand in one that is never closed; of NESTING, one can hold another.
@@ -70,6 +81,12 @@ class Block:
         self.path, self.above, self.text, self.linked = path, above, text, linked
 
 
+#: Sums of open tags beyond this many are told apart no more; the table holds sign(x) * log2(1 + |x|).
+_MOST_OPEN = 1 << 14
+_DAMPED = np.sign(np.arange(-_MOST_OPEN, _MOST_OPEN + 1)) * np.log2(1 + np.abs(np.arange(-_MOST_OPEN, _MOST_OPEN + 1)))
+_DAMPED = _DAMPED.astype(np.float16)
+
+
 def _closed_controls(page: str) -> set[int]:
     """Where the controls begin that have an end tag of their own."""
     closed: set[int] = set()
@@ -88,25 +105,75 @@ def _closed_controls(page: str) -> set[int]:
     return closed
 
 
+def _reference(m: re.Match) -> str:
+    """A long numeric reference without its leading zeros; past Unicode's end it stands for an unknown character."""
+    body = m[0][2:].rstrip(";")
+    digits = body[1:].lstrip("0") if body[0] in "xX" else body.lstrip("0")
+    if len(digits) > 7:
+        return "\ufffd"
+    return f"&#{'x' if body[0] in 'xX' else ''}{digits or '0'};"
+
+
+def decoded(raw: str) -> str:
+    """raw with its character references as the characters."""
+    if "&" not in raw:
+        return raw
+    return html.unescape(_LONG_REFERENCE.sub(_reference, raw) if "&#" in raw else raw)
+
+
+class _Quotes:
+    """Where a quote is closed in a page; a search that fails is not made again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.gone = page, {'"': len(page) + 1, "'": len(page) + 1}
+
+    def close(self, quote: str, at: int) -> int:
+        if at >= self.gone[quote]:
+            return -1
+        found = self.page.find(quote, at)
+        if found < 0:
+            self.gone[quote] = at
+        return found
+
+
+def _tag_end(page: str, at: int, quotes: _Quotes) -> int:
+    """The place after the ">" that ends the tag whose name ends at `at`, or -1. Quotes count after "=" only, and only if closed."""
+    if page.startswith(">", at):
+        return at + 1
+    while (m := _IN_TAG.search(page, at)) is not None:
+        at = m.end()
+        if m[0] == ">":
+            return at
+        if (v := _VALUE.match(page, at)) is not None and (close := quotes.close(v[1], v.end())) >= 0:
+            at = close + 1
+    return -1
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order."""
+    """The page's leaf blocks in order, in a time that is linear in the page.
+
+    Every tag is read once to its end, and the open tags' places are kept by name, so that no end tag searches the stack.
+    As in HTML, "/" at a tag's end means nothing but within svg and math, and a tag that is never ended ends the page.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple]] = []
     outer: list[tuple[str, tuple]] = []  # the stack without inline tags
-    is_open: Counter = Counter()
-    running = [0] * PATH_BUCKETS  # of all tags in outer
+    outer_at: list[int] = []  # their places in the stack
+    walls: list[int] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open tags, by name
+    running = np.zeros(PATH_BUCKETS, np.int32)  # of all tags in outer
     sums: dict[bytes, bytes] = {}  # blocks in like places share one
     parts: list[str] = []
     own = {"linked": 0, "links": 0, "skip": 0}
     closed: set[int] | None = None
     loose: list[int] = []  # places in the stack of open controls without an end tag
+    quotes = _Quotes(page)
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                above = np.array(running, np.float32)
-                above = (np.sign(above) * np.log2(1 + np.abs(above))).astype(np.float16).tobytes()
+                above = _DAMPED[np.clip(running, -_MOST_OPEN, _MOST_OPEN) + _MOST_OPEN].tobytes()
                 blocks.append(Block(tuple(outer[-2:]), sums.setdefault(above, above), text, own["linked"]))
             parts.clear()
             own["linked"] = 0
@@ -115,7 +182,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if stack and stack[-1][0] == "head" and raw.strip():
             pop_to(len(stack) - 1)
         if raw and not own["skip"]:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = decoded(raw)
             parts.append(text)
             if own["links"]:
                 own["linked"] += len(text)
@@ -126,52 +193,57 @@ def leaf_blocks(page: str) -> list[Block]:
             running[k] += by if sign > 0 else -by
 
     def pop_to(k: int) -> None:
-        for tag, words in stack[k:]:
+        for tag, words in reversed(stack[k:]):
             own["skip"] -= tag in SKIPPED
             own["links"] -= tag == "a"
-            is_open[tag] -= 1
+            places[tag].pop()
             if tag not in INLINE:
                 outer.pop()
+                outer_at.pop()
                 count(tag, words, -1)
         del stack[k:]
-        while loose and loose[-1] >= k:
-            loose.pop()
+        for marks in (loose, walls):
+            while marks and marks[-1] >= k:
+                marks.pop()
 
     at, end = 0, len(page)
     while at < end:
-        m = _MARK.search(page, at)
-        if m is None:
+        less = page.find("<", at)
+        if less < 0:
             take(page[at:])
             break
-        take(page[at : m.start()])
+        m = _MARK.match(page, less)
+        if m is None:  # a "<" of the text
+            after = page.find("<", less + 1)
+            take(page[at : after if after >= 0 else end])
+            at = after if after >= 0 else end
+            continue
+        take(page[at:less])
         at = m.end()
-        if m[2] is None:
+        if m[1] is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if not is_open[tag]:
-                if tag not in INLINE:
-                    flush()
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in INLINE:
-                        flush()
-                    elif any(t not in INLINE for t, _ in stack[k + 1 :]):
-                        break  # an inline end tag does not close the blocks inside it
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        tag, begins = m[1].lower(), at
+        at = _tag_end(page, at, quotes)
+        if at < 0:
+            break
+        attributes = page[begins : at - 1]
+        if page[less + 1] == "/":
+            if tag not in INLINE:
+                flush()
+            # an inline end tag does not close the blocks inside it
+            if places[tag] and (tag not in INLINE or not outer_at or places[tag][-1] > outer_at[-1]):
+                pop_to(places[tag][-1])
             continue
-        if is_open["head"] and tag not in IN_HEAD:
-            pop_to(next(k for k, (t, _) in enumerate(stack) if t == "head"))
+        if places["head"] and tag not in IN_HEAD:
+            pop_to(places["head"][0])
         if loose and tag not in INLINE and tag not in VOID and tag not in _IN_CONTROL:
             pop_to(loose[0])
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in _ENDINGS and not m[3].endswith("/"):  # raw text: up to its end tag, whatever it holds
+        if tag in _ENDINGS:  # raw text: up to its end tag, whatever it holds
+            if tag in ("svg", "math") and attributes.endswith("/"):
+                continue
             e = _ENDINGS[tag].search(page, at)
             at = e.end() if e else end
             continue
@@ -179,26 +251,27 @@ def leaf_blocks(page: str) -> list[Block]:
             flush()
             if tag not in ("p",) and tag not in CLOSES and stack and stack[-1][0] == "p" and tag not in VOID:
                 pop_to(len(stack) - 1)
-            closes = CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1) if is_open["p"] or any(is_open[t] for t in closes) else ():
-                if stack[k][0] in WALLS and stack[k][0] not in closes:
-                    break
-                if stack[k][0] in closes or stack[k][0] == "p":
-                    pop_to(k)
-        if tag in VOID or m[3].endswith("/"):
+            wall = walls[-1] if walls else -1
+            reach = [p[k] for t in (*CLOSES.get(tag, ()), "p") if (p := places[t]) and (k := bisect.bisect_right(p, wall)) < len(p)]
+            if reach:
+                pop_to(min(reach))
+        if tag in VOID:
             continue
         words = ()
-        if m[3]:
-            words = tuple(w.lower() for x in _NAMES.finditer(m[3]) for w in _SPLIT.split(x[2] or x[3] or x[4] or "") if len(w) > 1)
+        if attributes:
+            words = tuple(w.lower() for x in _NAMES.finditer(attributes) for w in _SPLIT.split(x[2] or x[3] or x[4] or "") if len(w) > 1)
         if tag in _CONTROLS:
             closed = _closed_controls(page) if closed is None else closed
-            if m.start() not in closed:
+            if less not in closed:
                 loose.append(len(stack))
-        stack.append((tag, words))
-        is_open[tag] += 1
+        if tag in WALLS:
+            walls.append(len(stack))
+        places[tag].append(len(stack))
         if tag not in INLINE:
-            outer.append(stack[-1])
+            outer_at.append(len(stack))
+            outer.append((tag, words))
             count(tag, words, 1)
+        stack.append((tag, words))
         own["skip"] += tag in SKIPPED
         own["links"] += tag == "a"
     flush()
@@ -207,9 +280,9 @@ def leaf_blocks(page: str) -> list[Block]:
 
 # --- features -----------------------------------------------------------------------------------------------
 
-PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 256, 32, 10
+PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 256, 256, 10
 WIDTH = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
-HIDDEN = 16
+HIDDEN = 24
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -226,16 +299,36 @@ def _path_features(b: Block) -> np.ndarray:
     return out
 
 
+_POINTS = np.zeros(256, bool)
+_POINTS[list(b".,:;!?")] = True
+
+
+def _word_features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of each block's hashed words (A-Z as a-z, points at their end taken off), and how many words it has."""
+    raw = [b.text.encode("utf-8", "replace") for b in blocks]
+    data = np.frombuffer(b"\n".join(raw), np.uint8)
+    offsets = np.append(0, np.cumsum([len(x) + 1 for x in raw]))
+    starts, ends, rows = word_bounds(data, np.minimum(offsets, len(data)))
+    n = np.bincount(rows, minlength=len(blocks))
+    ends = ends.copy()
+    for _ in range(3):
+        ends -= _POINTS[data[ends - 1]] & (ends - starts > 1)
+    hashes = word_hashes(data, starts, ends, fold=True)
+    signs = np.where(hashes >> U64(63), 1.0, -1.0)
+    sums = np.bincount(rows * WORD_BUCKETS + (hashes % U64(WORD_BUCKETS)).astype(np.int64), signs, len(blocks) * WORD_BUCKETS)
+    sums = sums.reshape(len(blocks), WORD_BUCKETS)
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1), n
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), WIDTH), np.float32)
+    if not blocks:
+        return out
+    # all words of every block; of length one, so that a block's length says nothing here
+    out[:, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS], counts = _word_features(blocks)
     for i, b in enumerate(blocks):
-        words = b.text.split()
-        n = len(words)
+        n = int(counts[i])
         out[i, :PATH_BUCKETS] = _path_features(b)
-        own = out[i, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS]
-        for w in words if n <= 12 else ():  # the words of short blocks tell furniture from text
-            k, sign = _bucket(w.lower().strip(".,:;!?"), WORD_BUCKETS)
-            own[k] += 0.5 * sign
         size = len(b.text)
         out[i, PATH_BUCKETS + WORD_BUCKETS :] = (
             np.log1p(n) / 4,
@@ -368,7 +461,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # --- training pages -----------------------------------------------------------------------------------------
 
-TRAIN_PAGES, EPOCHS, SEED = 5000, 10, 11
+TRAIN_PAGES, EPOCHS, SEED = 7000, 9, 11
 
 _NAV = "home about contact products services blog news archive login register search help faq sitemap privacy terms shop cart".split()
 _LABELS = {
@@ -384,6 +477,34 @@ _LABELS = {
 }
 
 
+#: What page furniture says, in the languages that are written most on the web.
+_WORDING = {
+    "notice": (
+        "we use cookies to give you the best experience on our website", "by continuing to use this site you accept our cookie policy", "accept all cookies",
+        "manage your privacy settings", "sign up for our newsletter and never miss a story", "you have reached your limit of free articles, subscribe to continue reading",
+        "wir verwenden cookies, um ihnen das beste erlebnis zu bieten", "mit der nutzung dieser seite stimmen sie der verwendung von cookies zu", "alle akzeptieren",
+        "nous utilisons des cookies pour améliorer votre expérience", "en poursuivant votre navigation, vous acceptez l'utilisation de cookies", "tout accepter",
+        "utilizamos cookies para mejorar su experiencia", "si continúa navegando, acepta el uso de cookies", "aceptar todas",
+    ),
+    "ad": (
+        "advertisement", "sponsored content", "buy now and save with free shipping", "limited time offer, order today", "anzeige", "jetzt kaufen und sparen",
+        "publicité", "achetez maintenant, livraison gratuite", "publicidad", "compre ahora con envío gratis",
+    ),
+    "comments": (
+        "posted by a reader", "reply", "i agree with this article", "thanks for sharing, great post", "says", "antworten", "danke für den beitrag", "répondre",
+        "merci pour cet article", "responder", "gracias por el artículo", "log in to leave a comment", "likes",
+    ),
+    "aside": ("related articles", "most read", "share this on", "follow us", "read more", "mehr zum thema", "meistgelesen", "à lire aussi", "les plus lus", "lo más leído", "te puede interesar"),
+    "footer": ("all rights reserved", "terms of use", "privacy policy", "contact us", "alle rechte vorbehalten", "impressum", "tous droits réservés", "mentions légales", "todos los derechos reservados", "aviso legal"),
+    "form": ("search", "your email", "password", "send", "suche", "rechercher", "buscar", "subscribe", "log in"),
+}
+#: The commonest words of four languages, which texts and furniture share.
+_COMMON = (
+    "the of and to in is that for it was on with as by at from this".split(),
+    "der die und in den von zu das mit sich des auf für ist im dem nicht".split(),
+    "de la le et les des en un du une que est pour qui dans par sur".split(),
+    "de la que el en y a los del se las por un para con no una".split(),
+)
 #: Class words that say how a tag looks.
 _LOOKS = """flex grid row col px py mt mb my mx pt pb text bg rounded shadow wide center md lg sm xl hover border items justify between gap font semibold
 container wrapper inner outer block relative absolute full max min auto overflow hidden transition duration white gray dark""".split()
@@ -391,13 +512,17 @@ class _Writer:
     """Writes one page; main blocks are remembered by their text."""
 
     def __init__(self, rnd: random.Random) -> None:
-        self.rnd, self.main = rnd, []
+        self.rnd, self.main, self.cells = rnd, [], False
         # some pages stand deep in wrappers, some name looks beside meanings
         self.depth, self.looks = rnd.choice([0, 0, 2, 6, 24]), rnd.choice([0, 0, 3, 9])
         letters = rnd.choice(["etaoinshrdlu", "enisratdhulgäöü", "eaosrnidltcñó", "esaitnrulodéè"])
-        self.lexicon = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(120)]
+        own = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(120)]
+        # the words of one page differ in how often they are said, as those of a language do
+        often = rnd.choice([0.0, 0.7, 1.0])
+        common = rnd.choice(_COMMON) if rnd.random() < 0.7 else []
+        self.lexicon = [w for k, w in enumerate(common + own) for _ in range(1 + int(often * 40 / (k + 1)))]
         # what a text looks like says nothing about whether it is main text
-        self.style = rnd.choice(["plain"] * 6 + ["bars", "symbols", "shout", "repeat"])
+        self.style = rnd.choice(["plain"] * 8 + ["bars", "symbols", "shout", "repeat", "stuck"])
 
     def words(self, low: int, high: int) -> str:
         rnd = self.rnd
@@ -410,6 +535,8 @@ class _Writer:
             return " ".join(w.upper() + "!!" for w in each)
         if self.style == "repeat":
             return " ".join(w for w in each for _ in range(4))
+        if self.style == "stuck" and rnd.random() < 0.5:
+            return " ".join(each[:1] * len(each) * rnd.choice([1, 4, 16]))
         return " ".join(each)
 
     def sentence(self, low: int = 4, high: int = 22) -> str:
@@ -439,10 +566,27 @@ class _Writer:
         return f' {rnd.choice(["class", "class", "id"])}="{self.named(word)}"'
 
     def junk(self, kind: str) -> str:
-        """Text that could be anyone's: furniture that only its place gives away."""
+        """What such furniture says, or text that could be anyone's, which only its place gives away."""
         rnd = self.rnd
+        if kind in _WORDING and rnd.random() < 0.5:
+            return self.wording(kind)
         return rnd.choice([self.words(1, 4), self.sentence(3, 12), self.prose(rnd.randint(1, 3)), f"{self.words(1, 3)} · {self.words(1, 3)}"])
 
+    def wording(self, kind: str) -> str:
+        """Set phrases of a kind among other words, from a few to more than a paragraph's."""
+        rnd = self.rnd
+        said = [rnd.choice(_WORDING[kind]) for _ in range(rnd.choice([1, 1, 2, 3]))]
+        if rnd.random() < 0.5:
+            said.insert(rnd.randrange(len(said) + 1), self.words(1, 12))
+        return ". ".join(x.capitalize() if rnd.random() < 0.8 else x for x in said) + rnd.choice(["", ".", "!"])
+
+    def unnamed(self) -> str:
+        """Furniture that nothing but its words tells from text."""
+        rnd = self.rnd
+        kind = rnd.choice(["notice", "notice", "ad", "comments", "footer"])
+        tag = rnd.choice(["div", "section", "div"])
+        return self.deep(f"<{tag}>{self.wording(kind)}</{tag}>") + rnd.choice(["", "\n"])
+
     def links(self) -> str:
         rnd = self.rnd
         each = [f'<a href="/{k}">{rnd.choice([rnd.choice(_NAV), self.words(1, 3)])}</a>' for k in range(rnd.randint(2, 9))]
@@ -465,6 +609,7 @@ class _Writer:
         rnd = self.rnd
         semantic = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         tag = semantic if semantic and rnd.random() < 0.6 else rnd.choice(["div", "section", "div"])
+        tag = "td" if self.cells and rnd.random() < 0.8 else tag
         attrs = self.name(kind) if tag == semantic or rnd.random() < 0.3 else f' class="{self.named(rnd.choice(_LABELS[kind]))}"'
         if kind == "nav":
             body = self.links()
@@ -489,17 +634,19 @@ class _Writer:
         before = [k for k in ("notice", "header", "nav", "ad", "form", "aside") if rnd.random() < 0.45]
         after = [k for k in ("aside", "comments", "ad", "nav", "footer", "notice", "form") if rnd.random() < 0.45]
         rnd.shuffle(before)
+        # some pages have a table for columns, some put the text straight into the body, some write divs for paragraphs
+        self.cells, para = rnd.random() < 0.08, rnd.choice(["p"] * 7 + ["div"])
         out = ["<!DOCTYPE html><html><head><title>t</title><style>p{margin:0}</style></head><body>" if rnd.random() < 0.8 else ""]
-        out += [self.furniture(k) for k in before]
-        tag = rnd.choice(["article", "article", "article", "main", "div", "section"])
-        attrs = f' class="{self.named(rnd.choice(_LABELS["main"]))}"' if tag in ("div", "section") or rnd.random() < 0.3 else ""
+        out += [self.furniture(k) if rnd.random() < 0.85 else self.unnamed() for k in before]
+        tag = "td" if self.cells else rnd.choice(["article", "article", "article", "main", "div", "div", "section", "body"])
+        attrs = f' class="{self.named(rnd.choice(_LABELS["main"]))}"' if tag in ("div", "section", "td") or rnd.random() < 0.3 else ""
         body = []
         if rnd.random() < 0.85:
             body.append(self.say(rnd.choice(["h1", "h1", "h2"]), self.words(2, 9).capitalize(), 1.0))
         for _ in range(rnd.choice([1, 2, 3, 5, 8, 13])):
             kind = rnd.random()
             if kind < 0.68:
-                body.append(self.say("p", self.prose(rnd.choice([1, 1, 2, 4, 8])) if rnd.random() < 0.85 else self.sentence(1, 3)))
+                body.append(self.say(para, self.prose(rnd.choice([1, 1, 2, 4, 8])) if rnd.random() < 0.85 else self.sentence(1, 3)))
             elif kind < 0.76:
                 body.append(self.say(rnd.choice(["h2", "h3"]), self.words(1, 6).capitalize(), 1.0))
             elif kind < 0.84:
@@ -512,10 +659,13 @@ class _Writer:
                 body.append(self.furniture(rnd.choice(["ad", "aside", "notice", "ad", "form"])))
         if rnd.random() < 0.25:
             body.append(self.furniture("comments"))
-        wrapped = self.deep(f"<{tag}{attrs}>" + self.deep("".join(body)) + f"</{tag}>")
-        if rnd.random() < 0.4:
+        inner = self.deep("".join(body))
+        wrapped = inner if tag == "body" else self.deep(f"<{tag}{attrs}>{inner}</{tag}>") if tag != "td" else f"<{tag}{attrs}>{inner}</{tag}>"
+        if rnd.random() < 0.4 and tag not in ("td", "body"):
             wrapped = f"<{rnd.choice(['div', 'main', 'div'])}{attrs if rnd.random() < 0.5 else ''}>{wrapped}</div>"
-        out += [wrapped, *(self.furniture(k) for k in after), "</body></html>"]
+        if self.cells:
+            out, wrapped = [out[0], "<table><tr>", *out[1:]], wrapped + rnd.choice(["</tr></table>", "</tr><tr>"])
+        out += [wrapped, *(self.furniture(k) if rnd.random() < 0.85 else self.unnamed() for k in after), "</body></html>"]
         return "".join(out)
 
 
@@ -557,6 +707,21 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) ->
     return net
 
 
+def kept(spark: SparkSession, folder: str) -> Labeller:
+    """The trained network, read from `folder` if one with these settings and this code was written there, else trained and written."""
+    with open(__file__, "rb") as f:
+        code = zlib.crc32(f.read())
+    path = f"{folder.rstrip('/')}/blocks-{TRAIN_PAGES}-{EPOCHS}-{SEED}-{code:08x}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        found = spark.read.parquet(path).collect()
+        return Labeller({r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in found})
+    net = trained()
+    rows = [(k, list(v.shape), bytearray(np.ascontiguousarray(v, np.float32).tobytes())) for k, v in net.w.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return net
+
+
 # --- the operator -------------------------------------------------------------------------------------------
 
 _SCHEMA = "page_id bigint, url string, text string, n_chars bigint, n_blocks int, n_main int"
@@ -596,12 +761,14 @@ def _extract(shared):
     return extract
 
 
-def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks, n_main."""
+def extract_text(
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: str | None = None
+) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks, n_main. weights: a folder in which the trained network is kept for other runs."""
     slim = df.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    shared = df.sparkSession.sparkContext.broadcast(trained().w)
-    return slim.mapInArrow(_extract(shared), _SCHEMA)
+    net = trained() if weights is None else kept(df.sparkSession, weights)
+    return slim.mapInArrow(_extract(df.sparkSession.sparkContext.broadcast(net.w)), _SCHEMA)
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:
-    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), weights=f"{shared_dir(spark)}/sightline-models")

@@ -121,6 +121,85 @@ def test_deep_and_late_markers():
     assert main_of(page) == STORY
 
 
+NAV = '<a href="/">Home</a> | <a href="/news">News</a> | <a href="/about">About us</a>'
+LIST = '<ul><li><a href="/1">One more story</a><li><a href="/2">Another</a></ul>'
+COOKIES = "We use cookies to give you the best experience on our website. By continuing to use this site you accept our cookie policy."
+SAID = "Thanks for sharing, great post. I agree with this article and will tell my friends of it."
+P = "".join(f"<p>{x}</p>" for x in STORY)
+D = "".join(f"<div>{x}</div>" for x in STORY)
+#: Pages of unlike kinds; each has STORY as its main text.
+LAYOUTS = {
+    "plain": f"<article>{P}</article>",
+    "no wrapper": f"<html><body>{P}</body></html>",
+    "no semantic tags": f'<body><div class="menu">{NAV}</div><div class="content">{P}</div><div class="footer">&copy; 2020 Site. All rights reserved.</div></body>',
+    "ids only": f'<body><div id="nav">{NAV}</div><div id="main">{P}</div><div id="sidebar">{LIST}</div></body>',
+    "divs for paragraphs": f'<body><div class="nav">{NAV}</div><div class="post">{D}</div><div class="related">{LIST}</div></body>',
+    "lines": f'<body><nav>{NAV}</nav><main>{"<br><br>".join(f"<p>{x}" for x in STORY)}</main></body>',
+    "unclosed": f'<html><head><title>t</title><body><ul class=menu><li><a href=/>Home</a><li><a href=/a>News</a></ul><article>{"".join(f"<p>{x}" for x in STORY)}</article><footer><p>&copy; Site</footer>',
+    "table": f'<table><tr><td class="menu">{NAV}</td><td class="content">{P}</td></tr></table>',
+    "list of points": f'<nav>{NAV}</nav><article><ul>{"".join(f"<li>{x}</li>" for x in STORY)}</ul></article>',
+    "quotes": f'<header><a href="/">Site</a></header><article><blockquote>{P}</blockquote></article><footer>Contact us</footer>',
+    "headings": f'<main><h1>{STORY[0]}</h1><p>{STORY[1]}</p><h2>{STORY[2]}</h2><p>{STORY[3]}</p></main><aside><h3>Most read</h3>{LIST}</aside>',
+    "aside within": f'<article><p>{STORY[0]}</p><aside class="related"><h3>Related articles</h3>{LIST}</aside><p>{STORY[1]}</p><p>{STORY[2]}</p><p>{STORY[3]}</p></article>',
+    "advert within": f'<article><p>{STORY[0]}</p><p>{STORY[1]}</p><div class="ad">Buy now and save with free shipping</div><p>{STORY[2]}</p><p>{STORY[3]}</p></article>',
+    "cookie notice in a plain div": f"<body><div>{COOKIES}</div><article>{P}</article></body>",
+    "cookie notice below": f"<body><article>{P}</article><div>{COOKIES}</div></body>",
+    "comments": f'<article>{P}</article><section class="comments"><h3>Comments</h3><div><b>Ann</b> {SAID}</div><div><b>Bob</b> {SAID}</div></section>',
+    "comments as a list": f'<article>{P}</article><div id="comments"><ol><li>{SAID}</li><li>{SAID} Reply</li></ol></div>',
+    "deep": "<div>" * 25 + f"<article>{P}</article>" + "</div>" * 25 + f"<footer>{NAV}</footer>",
+    "utility classes": f'<div class="flex px mt text grid menu">{NAV}</div><article class="mx py max text">{P}</article><div class="grid mt bg footer">All rights reserved. Privacy policy</div>',
+    "form": f'<form class="search-form"><label>Search</label><input name=q><button>Go</button></form><main>{P}</main><form><p>Sign up for our newsletter</p><input><button>Send</button></form>',
+    "links in the text": f"<nav>{NAV}</nav><article>{''.join(f'<p><a href=/x>{x[:12]}</a>{x[12:]}</p>' for x in STORY)}</article>",
+    "scripts between": f"<article><script>var a = '<p>no</p>';</script>{P}<style>p{{}}</style><noscript><p>Please enable scripts</p></noscript></article>",
+    "xml endings": f'<script src="a.js"/>var t = 1;</script><body><nav>{NAV}</nav><article>{P.replace("<p>", "<p class=x >")}<br/><hr/><img src="a"/></article></body>',
+    "upper case": f"<BODY><NAV>{NAV}</NAV><ARTICLE>{P.replace('<p>', '<P>').replace('</p>', '</P>')}</ARTICLE></BODY>",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_unlike_layouts(name):
+    assert main_of(LAYOUTS[name]) == STORY
+
+
+def test_marks():
+    assert texts('<p>a</p><script src="x"/>var a=1;</script><p>b') == ["a", "b"] == texts("<p>a<textarea/>x</textarea><p>b")
+    assert texts("<p><a href=/>x</a> y</p>") == ["x y"] == texts("<div/><p>x <svg/>y")
+    assert texts("<p>it <a title=it's>is</a> so</p>") == ["it is so"] and texts('<p>a <b title="x>y">c') == ["a c"]
+    assert texts("a <!--> b <!-- c --!> d </3 e> f <3 g") == ["a b d f <3 g"] and texts("a <p") == ["a"]
+    assert texts(f"<p>&#{'9' * 5000}; &#{'0' * 5000}65; &#x{'0' * 50}41; &#xFFFFFFFFFF;") == ["\ufffd A A \ufffd"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 340_000, "<b>" * 340_000, '<a ="' * 200_000, "<a x='>" * 140_000, "<!--" * 250_000, "< " * 500_000, "<b>" * 20_000 + "<p>x</b>" * 20_000,
+     "<ul>" * 20_000 + "<li>x" * 20_000, "<select>" * 120_000, "&#" * 500_000, "<p>" + "=" * 1_000_000, "<p " + 'class="' * 140_000, "<td><b></td>" * 80_000],
+    ids=lambda p: p[:8],
+)
+def test_time_is_linear(page):
+    import time
+
+    took = []
+    for own in (page[: len(page) // 4], page):
+        began = time.perf_counter()
+        h.leaf_blocks(own)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_long_blocks_have_words():
+    long = " ".join(f"w{k}" for k in range(400))
+    own = slice(h.PATH_BUCKETS, h.PATH_BUCKETS + h.WORD_BUCKETS)
+    one, other = (h.features(h.leaf_blocks(f"<p>{x}"))[0][own] for x in (long, long + " cookies" * 40))
+    assert np.linalg.norm(one) == pytest.approx(1) == np.linalg.norm(other) and not np.allclose(one, other)
+    assert np.allclose(h.features(h.leaf_blocks("<p>The end."))[0][own], h.features(h.leaf_blocks("<p>the END"))[0][own])
+
+
+def test_kept_weights(spark, tmp_path):
+    first = h.kept(spark, str(tmp_path))
+    again = h.kept(spark, str(tmp_path))
+    assert first.w.keys() == again.w.keys() and all((first.w[k] == again.w[k]).all() for k in first.w) and first is not again
+
+
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in h.extract_text(pages).collect()}
