@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("sightline.llm")
 
@@ -30,6 +31,46 @@ def test_same_ids_as_the_library(encoder, spark):
         assert encoder.ids(text) == encoder.exact(text), repr(text)
 
 
+def test_ranks_are_checked_when_loaded(encoder, tmp_path):
+    """A file whose merges don't stand in the order of their ids, or that normalises or cuts otherwise, goes through the library."""
+    import json
+
+    import public_tokenizers as public
+
+    assert encoder.fast is not None
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    changes = {
+        "swapped": lambda m: m["model"]["merges"].insert(0, m["model"]["merges"].pop(5)),
+        "lower": lambda m: m.update(normalizer={"type": "Lowercase"}),
+        "prefix": lambda m: m["pre_tokenizer"].update(add_prefix_space=True),
+        "uncut": lambda m: m["pre_tokenizer"].update(use_regex=False),
+    }
+    for name, change in changes.items():
+        model = json.loads(text)
+        change(model)
+        assert packing.by_ranks(model, public.PATTERN) is None, name
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(model), encoding="utf-8")
+        other = packing.Encoder(str(path), public.PATTERN)
+        assert other.fast is None and other.ids("The old Bridge, twice") == other.exact("The old Bridge, twice"), name
+    assert packing.by_ranks(json.loads(text), r"\S+|\s+") is None
+
+
+def test_copies_spread_over_groups(spark):
+    """A million rows of one text, asked into many groups: none gets far more than its share."""
+    rows = spark.range(1_000_000).select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("piece"), F.lit(77).cast("bigint").alias("ids_crc32"))
+    sizes = [r["count"] for r in rows.groupBy(packing.group_of(20)).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1.05 * 50_000
+    same = spark.range(6000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("one and the same text of some words").alias("text"))
+    got = packing.pack(same, room=64, group=500).collect()
+    per = {}
+    for r in got:
+        per[r.sequence_id] = per.get(r.sequence_id, 0) + r.length
+    assert len(got) == 6000 and max(per.values()) <= 64 and len({s // 2 % 12 for s in per}) == 12
+    assert len(per) <= 1.05 * math.ceil(sum(per.values()) / (64 // got[0].length * got[0].length)) + 12
+
+
 def check_packed(rows, texts, encoder, room=1024):
     by_doc, by_sequence = {}, {}
     for r in rows:
