@@ -183,7 +183,8 @@ def test_exact_dedup_awkward(spark):
 
 def test_oracles_on_awkward_rows(spark, tmp_path):
     texts = [None, "", " \t\r\n", "a", "a b c a b c a b c", "a b\na b\n\na b\n \nx", "one two three four " * 20, "É | ü | ñ |\nfine words here.\n" * 30,
-             "CLICK HERE\n" + "plain words of a text. " * 30, "NO!! WAY!! " * 40 + "\nok", "x%%% y&&& " * 60, "\x0bw\x0c" * 70, "a\u00a0b\u2003c " * 60]
+             "CLICK HERE\n" + "plain words of a text. " * 30, "NO!! WAY!! " * 40 + "\nok", "x%%% y&&& " * 60, "\x0bw\x0c" * 70, "a\u00a0b\u2003c " * 60,
+             "A heading of no mark\nEin Satz (ganz).\n" * 40, "Tous droits réservés.\nHier klicken!\nleer más;\r\n" * 25, "He said \"so.\"\u201d \t\nas 'it'\n" * 30, "v%d " * 300_000]
     docs = spark.createDataFrame([(k, t, "keep") for k, t in enumerate(texts)] + [(None, texts[4], "")], "doc_id bigint, text string, kept string")
     urls = [None, "", "no scheme", "http://", "https://A.Example.ORG/en/1x?y#z", "http://example.org/es/", "http://notexample.org/es/",
             "x://u@h.com:80/de/a", "http://b.com", "http://b.com/fr/?/de/", "a\nb://example.org/en/10", "http://q.org?x", "//x.org/", "http://h.net/de/"]
@@ -201,6 +202,7 @@ def test_oracles_on_awkward_rows(spark, tmp_path):
         assert df.limit(0).count() == 0
     assert url_filter.judge(pages.limit(0)).count() == 0 and line_quality.judge(docs.limit(0)).count() == 0
     clean = {r.doc_id: r.clean_text for r in line_quality.judge(docs).collect()}
+    assert clean[13] == "\n".join(["Ein Satz (ganz)."] * 40) + "\n" and clean[14] == ""
     assert clean[7] == "fine words here.\n" * 30 and clean[8].startswith("plain")
 
 
