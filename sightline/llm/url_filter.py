@@ -5,11 +5,14 @@ domain and suffix; each level's beta prior has its parent's shrunk rate as mean,
 method-of-moments estimate over all of that level's members. A page without a rule is blocked when the lower
 bound (mean less `z` standard deviations) of its host's beta posterior lies above `limit`.
 
-The registered domain is the host's last two labels, the suffix its last one; ports and user names stay part
-of the host, as the url gives them. Hosts without outcomes take their domain's posterior, and so on upward.
+The suffix is the host's last two labels where `suffixes` holds them ("co.uk"), else its last one; the registered
+domain is one label more. Ports and user names stay part of the host, as the url gives them. Hosts without outcomes
+take their domain's posterior, and so on upward.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the
-overall rate; with no outcomes at all everything is allowed; repeated rows are judged alike.
+overall rate; a very long url costs its own length; with no outcomes at all everything is allowed; repeated rows,
+and rows that tie in id or url, are judged alike and give a row each; a null id is passed on; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,14 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Suffixes of two labels under which the public registers names.
+SUFFIXES = (
+    "ac.jp", "ac.kr", "ac.nz", "ac.uk", "ac.za", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.bd", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl",
+    "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.uy", "com.ve", "com.vn", "edu.au", "edu.br", "edu.cn", "edu.tw", "go.jp", "gob.mx", "gouv.fr",
+    "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "gov.za", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "nhs.uk", "or.at", "or.jp",
+    "or.kr", "org.ar", "org.au", "org.br", "org.cn", "org.mx", "org.nz", "org.tw", "org.uk", "org.za", "sch.uk",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A level's prior counts for at least and at most so many outcomes.
 STRENGTH = (1.0, 1000.0)
@@ -84,22 +95,24 @@ def reputations(outcomes: DataFrame) -> dict[str, DataFrame]:
     return found
 
 
+def registered(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """domain and suffix of a host."""
+
+    def last(k: int) -> Column:
+        return F.regexp_extract(host, rf"((?:[^.]*\.){{0,{k - 1}}}[^.]*)$", 1)
+
+    two = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    return F.when(two, last(3)).otherwise(last(2)).alias("domain"), F.when(two, last(2)).otherwise(last(1)).alias("suffix")
+
+
 def judge(
-    df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, z: float = 1.0, limit: float = 0.4
+    df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, z: float = 1.0, limit: float = 0.4, suffixes=SUFFIXES
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation (the posterior's lower bound; null where a rule decides)."""
     host, path = split_url(F.col(url_col))
     split = df.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    labels = F.split(F.col("host"), r"\.")
-    n = F.size(labels)
-    pages = split.select(
-        "*",
-        rule.alias("rule"),
-        verdict.alias("says"),
-        F.when(n > 1, F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")).otherwise(F.col("host")).alias("domain"),
-        F.element_at(labels, -1).alias("suffix"),
-    )
+    pages = split.select("*", rule.alias("rule"), verdict.alias("says"), *registered(F.col("host"), suffixes))
     ruled, rest = pages.where("rule IS NOT NULL"), pages.where("rule IS NULL")
     outcomes = written(
         ruled.groupBy("host", "domain", "suffix").agg(F.count("*").alias("n"), F.sum((F.col("says") == "block").cast("bigint")).alias("b")),
@@ -139,6 +152,7 @@ def _level_sql(key: str, keys: str, parent: str) -> str:
 {key}_rep AS (SELECT {keys}, (k * up + b) / (k + n) AS m, k + n AS w FROM {key}_raw, {key}_k)"""
 
 
+_TWO = f"regexp_extract(host, '((?:[^.]*\\.)?[^.]*)$', 1) IN ({', '.join(repr(x) for x in SUFFIXES)})"
 ORACLE_OP7 = f"""
 WITH split AS (
   SELECT page_id,
@@ -152,8 +166,8 @@ WITH split AS (
   FROM numbered JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid
 ), pg AS (
   SELECT n.*, rule, says,
-    CASE WHEN contains(host, '.') THEN regexp_extract(host, '([^.]*\\.[^.]*)$', 1) ELSE host END AS domain,
-    regexp_extract(host, '([^.]*)$', 1) AS suffix
+    regexp_extract(host, CASE WHEN {_TWO} THEN '((?:[^.]*\\.){{0,2}}[^.]*)$' ELSE '((?:[^.]*\\.)?[^.]*)$' END, 1) AS domain,
+    regexp_extract(host, CASE WHEN {_TWO} THEN '([^.]*\\.[^.]*)$' ELSE '([^.]*)$' END, 1) AS suffix
   FROM numbered n LEFT JOIN best USING (rid)
 ), outcomes AS (
   SELECT host, domain, suffix, count(*) AS n, sum((says = 'block')::INT) AS b FROM pg WHERE rule IS NOT NULL GROUP BY ALL

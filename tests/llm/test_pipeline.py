@@ -187,7 +187,8 @@ def test_oracles_on_awkward_rows(spark, tmp_path):
              "A heading of no mark\nEin Satz (ganz).\n" * 40, "Tous droits réservés.\nHier klicken!\nleer más;\r\n" * 25, "He said \"so.\"\u201d \t\nas 'it'\n" * 30, "v%d " * 300_000]
     docs = spark.createDataFrame([(k, t, "keep") for k, t in enumerate(texts)] + [(None, texts[4], "")], "doc_id bigint, text string, kept string")
     urls = [None, "", "no scheme", "http://", "https://A.Example.ORG/en/1x?y#z", "http://example.org/es/", "http://notexample.org/es/",
-            "x://u@h.com:80/de/a", "http://b.com", "http://b.com/fr/?/de/", "a\nb://example.org/en/10", "http://q.org?x", "//x.org/", "http://h.net/de/"]
+            "x://u@h.com:80/de/a", "http://b.com", "http://b.com/fr/?/de/", "a\nb://example.org/en/10", "http://q.org?x", "//x.org/", "http://h.net/de/",
+            "http://a.b.co.uk/de/", "http://b.co.uk", "http://co.uk/", "http://x.b.com.au/fr/", "http://" + "a." * 30_000 + "com/de/", "http://h.com/" + "p" * 50_000]
     pages = spark.createDataFrame([(k, u, "n") for k, u in enumerate(urls * 3)], "page_id bigint, url string, host string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     pages.write.parquet(str(tmp_path / "pages.parquet"))
@@ -200,6 +201,10 @@ def test_oracles_on_awkward_rows(spark, tmp_path):
         assert sorted(names) == sorted(df.columns)
         assert sorted(map(repr, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(repr, got.fetchall()))
         assert df.limit(0).count() == 0
+    hosts = spark.createDataFrame([(x,) for x in ("a.b.co.uk", "co.uk", "uk", "", "x.y.z.com", "z.com")], "host string")
+    assert [tuple(r) for r in hosts.select(*url_filter.registered(F.col("host"))).collect()] == [
+        ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("", ""), ("z.com", "com"), ("z.com", "com")
+    ]
     assert url_filter.judge(pages.limit(0)).count() == 0 and line_quality.judge(docs.limit(0)).count() == 0
     clean = {r.doc_id: r.clean_text for r in line_quality.judge(docs).collect()}
     assert clean[13] == "\n".join(["Ein Satz (ganz)."] * 40) + "\n" and clean[14] == ""
