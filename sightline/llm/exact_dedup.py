@@ -1,15 +1,16 @@
 """Exact deduplication by content sort.
 
 Rows are dealt by range over (leading code points of the text, its MD5 digest, id): Spark samples the
-splitters from these bounded keys, so what reaches the driver does not grow with the texts' lengths. The
-external sort within a partition goes on with the whole text, so equal texts stand side by side, and
-neighbours are compared in full. The id is part of the range key, so the copies of one text, however many,
-are spread over as many partitions as their number asks for; a run that crosses partitions is put together
-from one summary row per partition edge.
-
-Defined cases: null text counts as empty; of rows with equal text and equal id (repeated rows) one stays;
-a null id sorts before every other id; an empty table gives an empty result; other columns are carried
-(`drop_copies`) or ignored (`copy_groups`) whatever their names.
+splitters from these bounded keys, so what reaches the driver does not grow with the texts' lengths. Texts that
+differ in their first LEAD code points are thus in the order of their content; of those that share them the digest
+decides which partition they go to, and the external sort goes on with the whole text, so equal texts stand side by
+side, and neighbours are compared in full. The id is part of the range key, so the copies of one text, however many,
+are spread over as many partitions as their number asks for; a run that crosses partitions is put together from the
+texts at the partitions' edges, which are compared in full too: two texts a partition.
+
+Defined cases: null text counts as empty; a very long text is sorted and compared whole; of rows with equal text and
+equal id (repeated rows) one stays; a null id sorts before every other id; an empty table gives an empty result;
+other columns are carried (`drop_copies`) or ignored (`copy_groups`) whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -30,7 +31,7 @@ LEAD, FLUSH = 32, 8192
 
 _REPORT = (
     "doc_id bigint, text_sha256 string, part int, run bigint, run_size bigint, run_keep bigint, "
-    "run_last boolean, at_edge boolean, opens boolean"
+    "run_last boolean, edge_text string"
 )
 
 
@@ -65,7 +66,7 @@ def _same_as_previous(texts: pa.Array, last: str | None) -> np.ndarray:
 
 
 def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with its run's number, size and last id.
+    """Each row with its run's number, size and last id; the first row of a partition's first and last run has the text.
 
     What is held of a run is its ids, eight bytes a row of one partition.
     """
@@ -73,7 +74,7 @@ def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list[np.ndarray] = []  # of the open run
     nulls: list[np.ndarray] = []
     sha = ""
-    closed: list[tuple] = []  # runs to be passed on: ids, nulls, digest, number, whether at an edge
+    closed: list[tuple] = []  # runs to be passed on: ids, nulls, digest, number, text if at an edge
     rows = 0
 
     def out() -> pa.RecordBatch:
@@ -81,8 +82,11 @@ def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(closed)), sizes)
         last_of, none = np.cumsum(sizes) - 1, np.concatenate([c[1] for c in closed])
         own = np.concatenate([c[0] for c in closed])
-        ends, opens = np.zeros(len(own), bool), np.zeros(len(own), bool)
-        ends[last_of], opens[last_of - sizes + 1] = True, True
+        ends = np.zeros(len(own), bool)
+        ends[last_of] = True
+        edge: list = [None] * len(own)
+        for at, c in zip((last_of - sizes + 1).tolist(), closed):
+            edge[at] = c[4]
         return pa.record_batch(
             [
                 pa.array(own, pa.int64(), mask=none),
@@ -92,10 +96,9 @@ def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sizes.astype(np.int64)[of]),
                 pa.array(own[last_of][of], pa.int64(), mask=none[last_of][of]),
                 pa.array(ends),
-                pa.array(np.array([c[4] for c in closed])[of]),
-                pa.array(opens),
+                pa.array(edge, pa.string()),
             ],
-            names=["doc_id", "text_sha256", "part", "run", "run_size", "run_keep", "run_last", "at_edge", "opens"],
+            names=["doc_id", "text_sha256", "part", "run", "run_size", "run_keep", "run_last", "edge_text"],
         )
 
     for batch in batches:
@@ -110,7 +113,8 @@ def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(bounds, bounds[1:]):
             if not same[a]:
                 if ids:
-                    closed.append((np.concatenate(ids), np.concatenate(nulls), sha, run, run == 0))
+                    last_text = texts[a - 1].as_py() if a else last
+                    closed.append((np.concatenate(ids), np.concatenate(nulls), sha, run, last_text if run == 0 else None))
                     rows += len(closed[-1][0])
                     run += 1
                     if rows >= FLUSH:
@@ -122,31 +126,27 @@ def _report_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nulls.append(none[a:b])
         last = texts[batch.num_rows - 1].as_py()
     if ids:
-        closed.append((np.concatenate(ids), np.concatenate(nulls), sha, run, True))
+        closed.append((np.concatenate(ids), np.concatenate(nulls), sha, run, last))
         yield out()
 
 
 def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The row with the largest id of each group stays. Equality across a partition's edge is that of the
-    SHA-256 digest; within a partition texts are compared in full.
+    The row with the largest id of each group stays.
     """
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = _sorted(slim, "text", F.col("doc_id")).select("doc_id", "text")
     runs = written(rows.mapInArrow(_report_runs, _REPORT), "runs")
-    # at most two summary rows a partition: a size bound that the texts don't change
-    edges = (
-        runs.where("at_edge AND opens")
-        .groupBy("text_sha256")
-        .agg(
-            F.sum("run_size").alias("all_size"),
-            F.max_by("run_keep", "part").alias("all_keep"),
-            F.max("part").alias("last_part"),
-        )
-        .withColumn("at_edge", F.lit(True))
+    # runs at partitions' edges that go on: at most two rows a partition, a size bound that the texts don't change
+    whole = runs.where("edge_text IS NOT NULL").groupBy("edge_text").agg(
+        F.sum("run_size").alias("all_size"),
+        F.max_by("run_keep", "part").alias("all_keep"),
+        F.max("part").alias("last_part"),
+        F.collect_list(F.struct("part", "run")).alias("pieces"),
     )
-    joined = runs.join(F.broadcast(edges), ["text_sha256", "at_edge"], "left")
+    edges = whole.where(F.size("pieces") > 1).select(F.explode("pieces").alias("p"), "all_size", "all_keep", "last_part").select("p.*", "all_size", "all_keep", "last_part")
+    joined = runs.join(F.broadcast(edges), ["part", "run"], "left")
     return joined.select(
         "doc_id",
         F.when(F.col("all_size").isNull(), F.col("run_keep")).otherwise(F.col("all_keep")).alias("keep_id"),
@@ -157,18 +157,17 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _last_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last row of each run, marked with its place: each row is passed on when the next text differs."""
+    """The last row of each run; the first and last of them have the partition's first and last text."""
     part = _partition_number()
     held: pa.RecordBatch | None = None  # the last row so far, whose run may go on
     head = None
 
-    def out(rows: pa.RecordBatch, first: np.ndarray, tail: bool) -> pa.RecordBatch:
+    def out(rows: pa.RecordBatch, first: bool, tail: bool) -> pa.RecordBatch:
         n = rows.num_rows
-        digest = [hashlib.sha256(rows.column("_sl_text")[n - 1].as_py().encode()).hexdigest()] if tail else [None]
         marks = [
             pa.array(np.full(n, part, np.int32)),
-            pa.array([None] * (n - 1) + digest, pa.string()),
-            pa.array([head if f else None for f in first], pa.string()),
+            pa.array([None] * (n - 1) + [rows.column("_sl_text")[n - 1].as_py() if tail else None], pa.string()),
+            pa.array([head if first else None] + [None] * (n - 1), pa.string()),
         ]
         keep = [c for c in rows.schema.names if c != "_sl_text"]
         return pa.record_batch([*(rows.column(c) for c in keep), *marks], names=[*keep, "_sl_part", "_sl_tail", "_sl_head"])
@@ -179,21 +178,18 @@ def _last_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         texts = batch.column("_sl_text")
         if head is None:
-            head = hashlib.sha256(texts[0].as_py().encode()).hexdigest()
+            head = texts[0].as_py()
         same = _same_as_previous(texts, held.column("_sl_text")[0].as_py() if held is not None else None)
         ends = np.append(~same[1:], False)
         if held is not None and not same[0]:
-            yield out(held, np.array([not emitted]), False)
+            yield out(held, not emitted, False)
             emitted = True
         if ends.any():
-            chosen = batch.filter(pa.array(ends))
-            first = np.zeros(chosen.num_rows, bool)
-            first[0] = not emitted
-            yield out(chosen, first, False)
+            yield out(batch.filter(pa.array(ends)), not emitted, False)
             emitted = True
         held = batch.slice(batch.num_rows - 1)
     if held is not None:
-        yield out(held, np.array([not emitted]), True)
+        yield out(held, not emitted, True)
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,15 +203,14 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kept = written(
         rows.mapInArrow(_last_of_runs, schema + ", _sl_part int, _sl_tail string, _sl_head string"), "kept"
     )
-    # one row a partition: the digests of its first and last text
+    # one row a partition, its first and last text: which last texts does the next partition go on with
     edges = (
         kept.where("_sl_tail IS NOT NULL OR _sl_head IS NOT NULL")
         .groupBy("_sl_part")
         .agg(F.max("_sl_tail").alias("tail"), F.max("_sl_head").alias("head"))
-        .orderBy("_sl_part")
-        .collect()
+        .withColumn("next", F.lead("head").over(Window.orderBy("_sl_part")))
     )
-    goes_on = [a._sl_part for a, b in zip(edges, edges[1:]) if a.tail == b.head]
+    goes_on = [r._sl_part for r in edges.where("tail = next").select("_sl_part").collect()]
     left = kept
     if goes_on:
         left = kept.where(~(F.col("_sl_tail").isNotNull() & F.col("_sl_part").isin(goes_on)))
