@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-Features of a text are counts of hashed tokens: each word's shape (letters by case, digits, other characters as
-they are, runs shortened), its last characters, its pair of shapes with the next word, its length, and whether
-it repeats the two words before it. The counts are taken over the whole text, as shares, damped by a square root and weighed by
+Features of a text are counts of hashed tokens: each word itself (A-Z as a-z), its shape (letters by case, digits,
+other characters as they are, runs shortened), its last characters, its pair of shapes with the next word, its
+length, and whether it repeats the two words before it. The counts are taken over the whole text, as shares, damped by a square root and weighed by
 rarity in the sample. A truncated singular value decomposition of the labelled sample gives the latent space.
 
 The labelled vectors and the projection go to all tasks; their size is bounded by SAMPLE x RANK and
@@ -13,8 +13,10 @@ Fitting: at most SAMPLE labelled rows, those of the smallest hash of their id, s
 Rows held out (crc32 of the id as text, modulo 3, is 1) are never used. Only the text is an input of a score.
 
 Defined cases: a text without words has the zero vector and scores the sample's share of label 1, as does any
-text while there are no labels at all (then 0.5); null text is empty; repeated rows score alike; a null id is
-passed on and isn't held out.
+text while there are no labels at all (then 0.5); null text is empty; a very long text costs its own length; repeated
+rows, and rows that tie in id, score each by its text, and a label counts for all documents of its id; a null id is
+passed on and isn't held out; an empty table gives an empty result; other columns are ignored (or carried, by
+`keep_good`), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +32,7 @@ from pyspark.sql import functions as F
 
 from .textblocks import U64, blocks, mix64, step, word_bounds, word_hashes
 
-BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER = 1024, 48, 4096, 25, 8
-#: Tokens that a word gives which repeats the two before it.
-REPEATS = 6
+BUCKETS, RANK, SAMPLE, NEIGHBOURS, POWER = 2048, 48, 4096, 25, 8
 #: Documents whose counts are held at a time, and documents in a block of the cosine product.
 _DOCS, _BLOCK = 256, 512
 
@@ -49,7 +49,7 @@ def _token_blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     starts, ends, rows = word_bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    whole = word_hashes(data, starts, ends, fold=False)
+    whole = word_hashes(data, starts, ends, fold=True)
     # the shape: the word's characters by class, without repeats of the class
     cls = _SHAPE[data]
     changes = np.ones(len(cls), bool)
@@ -65,10 +65,9 @@ def _token_blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     pair = mix64(shape[:-1] * U64(3) + shape[1:])[follows]
     same = follows & (whole[1:] == whole[:-1])
     again = rows[2:][same[1:] & same[:-1]]  # twice by chance is no sign of anything
-    repeats = [np.full(len(again), step(20 + k)) for k in range(REPEATS)]
     length = np.minimum(ends - starts, 24).astype(U64)
-    tokens = [shape + step(1), tail + step(2), pair + step(3), length + step(5), *repeats]
-    where = [rows, rows, rows[1:][follows], rows, *[again] * REPEATS]
+    tokens = [whole + step(4), shape + step(1), tail + step(2), pair + step(3), length + step(5), np.full(len(again), step(20))]
+    where = [rows, rows, rows, rows[1:][follows], rows, again]
     return mix64(np.concatenate([mix64(t) for t in tokens])), np.concatenate(where)
 
 
@@ -130,7 +129,7 @@ def fit(shares: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Model:
         return Model(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0))
     weights = np.log((n + 1) / ((shares > 0).sum(axis=0) + 0.5)).astype(np.float32) + 0.3
     x = shares * weights
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+    values, vectors = np.linalg.eigh(x.T @ x)
     top = np.argsort(values)[::-1][:rank]
     projection = vectors[:, top].astype(np.float32)
     return Model(weights, projection, _unit(x @ projection), labels.astype(np.float64))
