@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm import exact_dedup, near_dedup, packing, quality_knn, source_mix
-from sightline.llm.common import shared_dir
+from sightline.llm.common import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +19,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id."""
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id.
+
+    Stages without a contract take five words; the query op10_near_dedup takes four, as its contract says.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -48,12 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder before the next."""
+    """All stages over documents, each written to the shared folder, where the application's other tables lie, before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}-{name.replace(' ', '-')}")
     return docs
