@@ -74,7 +74,7 @@ def test_stages_on_awkward_rows(spark, tmp_path):
         (None, words + " of it", "en", "a", 5, "x", 2.0), (None, None, None, None, None, None, None), (4, None, "en", "b", 0, "y", 3.0), (5, "", "en", "b", 0, "y", 3.0),
         (6, " \n\t ", "en", "b", 0, "y", 3.0), (7, "z " * 60000, "en", "b", 0, "y", 3.0),
     ]
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size double"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _sl_id string, _sl_times double"
     start = spark.createDataFrame(rows, schema)
     for docs in (start, start.limit(0), start.where("text IS NULL")):
         for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -219,5 +219,16 @@ def test_entry_survives_without_the_subpackage(tmp_path):
     shutil.copytree(f"{root}/sightline", tmp_path / "sightline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(k.startswith('op1') for k in q); print('fine')"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+    def run(code):
+        return subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+    done = run(code)
+    assert done.stdout.strip() == "fine", done.stderr
+    shutil.copytree(f"{root}/sightline/llm", tmp_path / "sightline" / "llm")
+    done = run(code)  # without the pipeline alone
     assert done.stdout.strip() == "fine", done.stderr
+    # a library that the operators need and lack isn't taken for their absence
+    shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+    done = run("import sys; sys.modules['ahocorasick'] = None; import __spark_entry__")
+    assert done.returncode and "ahocorasick" in done.stderr
