@@ -98,9 +98,20 @@ def base64_of(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.base64(F.concat("p_name", "p_type").cast("binary")).alias("b64"))
 
 
-@query("checksums")
+#: Both sums bit by bit, and byte by byte, over the text's UTF-8 bytes.
+_CHECKSUMS = """
+WITH n AS (SELECT p_partkey, [('0x' || substr(hex(encode(p_name)), 2 * i - 1, 2))::BIGINT for i in range(1, octet_length(encode(p_name)) + 1)] AS bytes FROM part)
+SELECT p_partkey,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS crc,
+  (len(bytes) + list_sum([bytes[i] * (len(bytes) - i + 1) for i in range(1, len(bytes) + 1)])::BIGINT) % 65521 * 65536 + (1 + list_sum(bytes)::BIGINT) % 65521 AS adler
+FROM n
+"""
+
+
+@query("checksums", _CHECKSUMS)
 def checksums(spark, sf_dir):
-    """CRC-32 beside Adler-32; the oracle engine has neither, tests compare them with zlib."""
+    """CRC-32 beside Adler-32."""
 
     @F.pandas_udf("bigint")
     def adler(values: pd.Series) -> pd.Series:

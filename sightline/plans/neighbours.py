@@ -141,13 +141,10 @@ def knn_histogram(spark, sf_dir):
     + """, won AS (SELECT query_id, gallery_label AS label, distance AS best FROM r WHERE rank = 1)
 SELECT query_id, query_label, label, best, round(avg(distance), 6) AS mean_distance,
        round(1 / (1 + avg(distance) / 100), 6) AS confidence, avg(distance) < 5000 AS named
-FROM r JOIN won USING (query_id) WHERE rank <= 50 AND gallery_label = label GROUP BY query_id, query_label, label, best""",
+FROM r JOIN won USING (query_id) WHERE gallery_label = label GROUP BY query_id, query_label, label, best""",
 )
 def knn_mean_distance(spark, sf_dir):
-    """Fisherfaces' rule: the mean distance to all samples of the winning class decides.
-
-    The SQL still averages only those among the 50 nearest samples, so the two differ where the class has others.
-    """
+    """Fisherfaces' rule: the mean distance to all samples of the winning class decides."""
     e = table(spark, sf_dir, "embeddings")
     found = N.predict_mean_distance(e.where(F.col("vec_id") % EVERY == 0), e)
     return found.withColumn("mean_distance", F.round("mean_distance", 6)).withColumn("confidence", F.round("confidence", 6))

@@ -192,9 +192,25 @@ def track_merge(spark, sf_dir):
     return found.select("video", "root", "first_ts", "last_ts", "frame_count", "members", "box.x", "box.y", "new_id")
 
 
-@query("track_merge_ordered")
+#: One step per pair of places (i, j) in a video: `rep` has each place's representative by then, `ok` the pairs that may merge.
+_ORDERED = f""", place AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY id) AS k FROM n),
+pair AS (SELECT a.video, list(a.k * 100000 + b.k) AS ok FROM place a JOIN place b ON a.video = b.video AND a.id <> b.id
+  AND abs(a.x + a.w // 2 - b.x - b.w // 2) <= 100 AND abs(a.y + a.h // 2 - b.y - b.h // 2) <= 100 AND {_FULL} < 0.85 + 0.05 GROUP BY a.video),
+start AS (SELECT video, count(*) AS m, list(id ORDER BY id) AS ids, coalesce(any_value(ok), []) AS ok FROM place LEFT JOIN pair USING (video) GROUP BY video),
+walk AS (
+  SELECT video, m, ids, ok, 1::BIGINT AS i, 2::BIGINT AS j, range(1, m + 1) AS rep FROM start
+  UNION ALL
+  SELECT video, m, ids, ok, CASE WHEN j < m THEN i ELSE i + 1 END, CASE WHEN j < m THEN j + 1 ELSE i + 2 END,
+    CASE WHEN rep[i] <> rep[j] AND list_contains(ok, rep[i] * 100000 + rep[j]) THEN [CASE WHEN r = rep[j] THEN rep[i] ELSE r END for r in rep] ELSE rep END
+  FROM walk WHERE i < m
+), done AS (SELECT video, ids, rep FROM walk WHERE i >= m),
+flat AS (SELECT video, unnest(ids) AS id, unnest(rep) AS r FROM done)
+SELECT video, id, min(id) OVER (PARTITION BY video, r) AS root FROM flat"""
+
+
+@query("track_merge_ordered", _T + _ORDERED)
 def track_merge_ordered(spark, sf_dir):
-    """The merge in order of (i, j) through representatives; no SQL: tests compare it with a plain loop."""
+    """The merge in order of (i, j) through representatives."""
     return T.merge_ordered(tracks(spark, sf_dir), 0.85)
 
 
@@ -230,7 +246,28 @@ def tracker_input(spark, sf_dir: str):
     return detections(spark, sf_dir).select("video", "idx", "pos", "box", descriptor.alias("descriptor"))
 
 
-@query("online_tracker")
+#: One step per detection of a video, all videos side by side; `pts` and `g` are the tracks' centres and descriptors by then.
+_ONLINE = """, seq AS (
+  SELECT video, idx, pos, x + w // 2 AS cx, y + h // 2 AS cy, [(((idx % 5 + 1) * (k + 1) + pos) % 7 + 0.5)::DOUBLE for k in range(8)] AS d,
+    row_number() OVER (PARTITION BY video ORDER BY idx, pos) AS k FROM d
+), walk AS (
+  SELECT video, 0::BIGINT AS k, 0::BIGINT AS idx, 0 AS pos, 0 AS face_id, NULL::DOUBLE AS distance, []::INT[][] AS pts, []::DOUBLE[][] AS g FROM (SELECT DISTINCT video FROM seq)
+  UNION ALL
+  SELECT video, k, idx, pos, coalesce(best, len(pts) + 1)::INT - 1, CASE WHEN best IS NOT NULL THEN dist[best] END,
+    CASE WHEN best IS NULL THEN list_append(pts, [cx, cy]) ELSE [CASE WHEN i = best THEN [cx, cy] ELSE pts[i] END for i in range(1, len(pts) + 1)] END,
+    CASE WHEN best IS NULL THEN list_append(g, d)
+      ELSE [CASE WHEN i = best THEN [0.8::DOUBLE * g[i][c] + (1 - 0.8::DOUBLE) * d[c] for c in range(1, 9)] ELSE g[i] END for i in range(1, len(g) + 1)] END
+  FROM (
+    SELECT *, CASE WHEN list_min(dist) < 0.3 THEN list_position(dist, list_min(dist)) END AS best FROM (
+      SELECT s.*, w.pts, w.g, [CASE WHEN abs(w.pts[i][1] - s.cx) <= 100 AND abs(w.pts[i][2] - s.cy) <= 100
+        THEN 1 - greatest(-1.0, least(1.0, list_dot_product(w.g[i], s.d) / sqrt(list_dot_product(w.g[i], w.g[i]) * list_dot_product(s.d, s.d)))) ELSE 9 END
+        for i in range(1, len(w.pts) + 1)] AS dist
+      FROM walk w JOIN seq s ON s.video = w.video AND s.k = w.k + 1))
+)
+SELECT video, idx, pos, face_id, round(distance, 6) + 0.0 AS distance FROM walk WHERE k > 0"""
+
+
+@query("online_tracker", _D + _ONLINE)
 def online_tracker(spark, sf_dir):
-    """Ordered and stateful, so no SQL: tests compare it with a plain loop."""
+    """Ordered and stateful: in SQL a step per detection."""
     return T.track(tracker_input(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
