@@ -47,26 +47,6 @@ def folds_of(labels: list[int], k: int, seed: int) -> list[list[int]]:
     return out
 
 
-def pairs_of(labels: list[int], most: int, seed: int) -> list[tuple[int, int, bool]]:
-    """Index pairs of small label lists on the driver: neighbours within a class (drawn down to half of `most`, with
-    replacement), as many distinct pairs across classes (in at most 20 tries each), shuffled together."""
-    rng = XorShift(seed * 0x9E3779B97F4A7C15 & _MASK)
-    same = []
-    for label in sorted(set(labels)):
-        own = [i for i, x in enumerate(labels) if x == label]
-        same += [(a, b, True) for a, b in zip(own, own[1:])]
-    if len(same) > most // 2:
-        same = [same[rng.below(len(same))] for _ in range(most // 2)]
-    seen: set[tuple[int, int]] = set()
-    tries = 20 * len(same)
-    while len(seen) < len(same) and tries:
-        tries -= 1
-        a, b = sorted((rng.below(len(labels)), rng.below(len(labels))))
-        if a != b and labels[a] != labels[b]:
-            seen.add((a, b))
-    return rng.shuffle(same + [(a, b, False) for a, b in sorted(seen)])
-
-
 def spread(id_col: Column, seed: int = 42) -> Column:
     """An order of ids that looks random and that any SQL engine can compute: multiplicative hashing modulo 2^32 of
     the id's lower 31 bits, so that no product overflows."""

@@ -15,6 +15,7 @@ from sightline.operators import frames as FR
 from sightline.operators import models as M
 from sightline.operators import tracks as T
 from sightline.options import Benchmark, Run, algorithms
+from sightline.plans import learning as M_queries
 from sightline.plans.learning import DEMO
 from sightline.sources import cascades, codecs, records, reports
 from sightline.sources import images as SI
@@ -232,15 +233,17 @@ def test_models(spark, tmp_path):
     assert np.allclose(parts.reconstruct(parts.project(x)), x)
     wide = M.pca_of(rng.random((6, 40)), 4)
     assert wide.vectors.shape == (40, 4) and np.allclose(wide.vectors.T @ wide.vectors, np.eye(4))
-    by_label = M.moments(s, "vec", "label")
-    mean, within, between = M.scatter(by_label)
+    found = M.scatter(s, "vec", "label")
+    within, between = found.within, found.between
+    assert found.classes == 4 and np.allclose(found.mean, x.mean(axis=0))
     assert np.allclose(within + between, (x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))
+    assert np.allclose(within, sum((x[c::4] - x[c::4].mean(axis=0)).T @ (x[c::4] - x[c::4].mean(axis=0)) for c in range(4)))
     for variant in ("generalised", "svd"):
-        assert M.lda_of(by_label, 9, variant).vectors.shape == (10, 3)
-    g = M.lda_of(by_label, 3)
+        assert M.lda_of(found, 9, variant).vectors.shape == (10, 3)
+    g = M.lda_of(found, 3)
     assert np.allclose(np.linalg.solve(within + 1e-8 * np.eye(10), between) @ g.vectors, g.vectors * g.values, atol=1e-6)
     with pytest.raises(ValueError):
-        M.lda_of({0: by_label[0]}, 1)
+        M.lda_of(M.scatter(s.where("label = 0"), "vec", "label"), 1)
     for algorithm in ("eigenfaces", "fisherfaces", "lbph"):
         model = M.train(s, algorithm, 3 if algorithm != "lbph" else None)
         before = {r.query_id: (r.label, r.name, round(r.confidence, 9)) for r in model.predict(s, leave_out_self=True).collect()}
@@ -250,11 +253,52 @@ def test_models(spark, tmp_path):
         assert after.algorithm == algorithm and after.threshold == model.threshold
         assert {r.query_id: (r.label, r.name, round(r.confidence, 9)) for r in after.predict(s, leave_out_self=True).collect()} == before
     y = np.array([r[1] for r in rows])
-    for margins in (M.train_margins(x, y, iterations=40, rate=0.02), M.train_margin_all(s, rounds=60)):
+    for margins in (M.train_margins(x, y, iterations=60), M.train_margin_all(s, rounds=30)):
         label, confidence = M.predict_margins(margins, x)
         assert (label == y).mean() > 0.9 and ((confidence >= 0.5) & (confidence <= 1)).all()
 
 
+def test_components_of_whole_faces(spark):
+    """At 92 x 112 dimensions, by the Gram matrix and by subspace iteration over all rows: numpy's eigenvalues and directions."""
+    rng = np.random.default_rng(9)
+    d, n, k = 92 * 112, 90, 6
+    x = (rng.normal(size=(n, 12)) * np.geomspace(30, 1, 12)) @ rng.normal(size=(12, d)) / 10 + rng.normal(size=(n, d)) * 0.1
+    s = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "sample_id bigint, vec array<double>").repartition(5)
+    c = x - x.mean(axis=0)
+    _, sizes, right = np.linalg.svd(c, full_matrices=False)
+    for parts in (M.pca(s, k), M.subspace(s, k)):
+        assert parts.vectors.shape == (d, k) and np.allclose(parts.mean, x.mean(axis=0))
+        assert np.allclose(parts.values, sizes[:k] ** 2 / (n - 1), rtol=1e-6)
+        assert np.allclose(np.abs((parts.vectors * right[:k].T).sum(axis=0)), 1, atol=1e-5)
+
+
+def test_model_queries_by_numpy(spark):
+    """The registered model queries over the whole table against plain numpy."""
+    sf = "/root/testdata/sf0.01"
+    rows = M_queries.samples(spark, sf).orderBy("sample_id").collect()
+    x, y, ids = np.array([r.vec for r in rows]), np.array([r.label for r in rows]), np.array([r.sample_id for r in rows])
+    got = [r.value for r in M_queries.pca_eigenvalues(spark, sf).orderBy("k").collect()]
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(got, values[::-1], atol=2e-6)
+    means = np.array([x[y == c].mean(axis=0) for c in np.unique(y)])
+    within = sum((x[y == c] - m).T @ (x[y == c] - m) for c, m in zip(np.unique(y), means))
+    off = means - x.mean(axis=0)
+    between = (off.T * [np.count_nonzero(y == c) for c in np.unique(y)]) @ off
+    ratio = np.linalg.solve(within + 1e-8 * np.eye(len(within)), between)
+    told = {(r.variant, r.k): r.value for r in M_queries.lda_separation(spark, sf).collect()}
+    of = {"generalised": np.sort(np.linalg.eigvals(ratio).real)[::-1][:9], "svd": np.linalg.svd(ratio)[1][:9] ** 2}
+    assert all(np.isclose(told[v, k], of[v][k], rtol=1e-5, atol=2e-6) for v in of for k in range(9)) and len(told) == 18
+    by = {r.algorithm: r for r in M_queries.recognize_components(spark, sf).collect()}
+    z = (x - x.mean(axis=0)) @ vectors[:, ::-1][:, :20]
+    unit = z / np.linalg.norm(z, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 20 == 0)
+    far = (1 - np.clip(unit[asked] @ unit.T, -1, 1)) / 2
+    far[np.arange(len(asked)), asked] = np.inf
+    assert by["eigenfaces"].n == len(asked) and np.isclose(by["eigenfaces"].accuracy, (y[far.argmin(axis=1)] == y[asked]).mean(), atol=1e-6)
+    best, second = np.sort(far, axis=1)[:, :2].T
+    assert np.isclose(by["eigenfaces"].confidence, (1 - best / second).mean(), atol=2e-4)
+
+
 def test_frame_selection(spark):
     face = lambda pos, fid, x, sharp, w=20: (pos, fid, (x, 0, w, 20), sharp)
     rows = [

@@ -90,14 +90,6 @@ def test_folds_and_shuffle():
     assert E.XorShift(0).next() == E.XorShift(0x9E3779B97F4A7C15).next()
 
 
-def test_pairs_of():
-    labels = [k // 5 for k in range(30)]
-    pairs = E.pairs_of(labels, 1000, 7)
-    same, other = [p for p in pairs if p[2]], [p for p in pairs if not p[2]]
-    assert len(same) == len(other) == 24 and len(set(other)) == 24 and pairs == E.pairs_of(labels, 1000, 7)
-    assert all(labels[a] == labels[b] and b == a + 1 for a, b, _ in same) and all(labels[a] != labels[b] for a, b, _ in other)
-    assert len(E.pairs_of(labels, 10, 7)) == 10 and not [p for p in E.pairs_of([1] * 5, 100, 1) if not p[2]]
-
 
 def test_two_level_windows(spark):
     rng = np.random.default_rng(9)
