@@ -212,28 +212,38 @@ def tracker_descriptor(image: np.ndarray, box) -> np.ndarray:
     return texture_descriptor(face / 255.0, FACE_W, FACE_H)
 
 
-def gradient_cells(image: np.ndarray, cell: int = HOG_CELL, bins: int = HOG_BINS) -> np.ndarray:
-    """Per cell, gradient strength by direction over half a turn, shared between the two nearest bins."""
-    v = image.astype(np.float64)
-    p = np.pad(v, 1, mode="edge")
-    gx, gy = p[1:-1, 2:] - p[1:-1, :-2], p[2:, 1:-1] - p[:-2, 1:-1]
+def gradient_cells_of(images: np.ndarray, cell: int = HOG_CELL, bins: int = HOG_BINS) -> np.ndarray:
+    """For each of several images of one size, per cell, gradient strength by direction over half a turn, shared between
+    the two nearest bins."""
+    n, height, width = images.shape
+    p = np.pad(images.astype(np.float64), ((0, 0), (1, 1), (1, 1)), mode="edge")
+    gx, gy = p[:, 1:-1, 2:] - p[:, 1:-1, :-2], p[:, 2:, 1:-1] - p[:, :-2, 1:-1]
     strength, angle = np.sqrt(gx * gx + gy * gy), np.arctan2(gy, gx)
     angle = np.where(angle < 0, angle + np.pi, angle)
     place = angle / np.pi * bins
     low = np.floor(place)
     share, low = place - low, low.astype(np.int64) % bins
-    rows, cols = image.shape[0] // cell, image.shape[1] // cell
-    where = (np.arange(image.shape[0]) // cell)[:, None] * cols + (np.arange(image.shape[1]) // cell)[None, :]
-    out = np.bincount((where * bins + low).ravel(), (strength * (1 - share)).ravel(), rows * cols * bins)
-    out += np.bincount((where * bins + (low + 1) % bins).ravel(), (strength * share).ravel(), rows * cols * bins)
-    return out.reshape(rows, cols, bins)
+    rows, cols = height // cell, width // cell
+    where = (np.arange(height) // cell)[:, None] * cols + (np.arange(width) // cell)[None, :]
+    where = where[None] + (np.arange(n) * rows * cols)[:, None, None]
+    out = np.bincount((where * bins + low).ravel(), (strength * (1 - share)).ravel(), n * rows * cols * bins)
+    out += np.bincount((where * bins + (low + 1) % bins).ravel(), (strength * share).ravel(), n * rows * cols * bins)
+    return out.reshape(n, rows, cols, bins)
+
+
+def gradient_cells(image: np.ndarray, cell: int = HOG_CELL, bins: int = HOG_BINS) -> np.ndarray:
+    return gradient_cells_of(image[None], cell, bins)[0]
+
+
+def gradient_descriptors(images: np.ndarray) -> np.ndarray:
+    """Per image, blocks of 2 x 2 cells at every cell, each scaled to unit length (1e-6 under the root): 1764 numbers for 64 x 64."""
+    c = gradient_cells_of(images)
+    blocks = np.concatenate([c[:, :-1, :-1], c[:, :-1, 1:], c[:, 1:, :-1], c[:, 1:, 1:]], axis=3)
+    return (blocks / np.sqrt((blocks * blocks).sum(axis=3, keepdims=True) + 1e-6)).reshape(len(images), -1)
 
 
 def gradient_descriptor(image: np.ndarray) -> np.ndarray:
-    """Blocks of 2 x 2 cells at every cell, each scaled to unit length (1e-6 under the root): 1764 numbers for 64 x 64."""
-    c = gradient_cells(image)
-    blocks = np.concatenate([c[:-1, :-1], c[:-1, 1:], c[1:, :-1], c[1:, 1:]], axis=2)
-    return (blocks / np.sqrt((blocks * blocks).sum(axis=2, keepdims=True) + 1e-6)).ravel()
+    return gradient_descriptors(image[None])[0]
 
 
 def gradient_of_box(image: np.ndarray, box) -> np.ndarray:

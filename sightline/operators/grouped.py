@@ -19,17 +19,20 @@ def map_groups(df: DataFrame, key: str, order: list[str], run: Callable[[dict[st
     out_names = [f.split()[0] for f in schema.split(", ")]
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # the open group, a part a batch
         for pdf in frames:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
             keys = pdf[key].to_numpy()
-            last = int(np.searchsorted(keys, keys[-1], "left")) if len(keys) else 0
-            if last:
-                yield over(pdf.iloc[:last])
-            held = pdf.iloc[last:]
-        if held is not None and len(held):
-            yield over(held)
+            if held and keys[-1] == held[0][key].iloc[0]:
+                held.append(pdf)  # nothing is joined while one group fills whole batches
+                continue
+            last = int(np.searchsorted(keys, keys[-1], "left"))
+            if held or last:
+                yield over(pd.concat([*held, pdf.iloc[:last]], ignore_index=True))
+            held = [pdf.iloc[last:]]
+        if held:
+            yield over(pd.concat(held, ignore_index=True))
 
     def over(pdf: pd.DataFrame) -> pd.DataFrame:
         columns = {c: pdf[c].to_numpy() for c in names}

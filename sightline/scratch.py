@@ -54,14 +54,24 @@ def _folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def written_at(df: DataFrame, tag: str = "table") -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, read again, and where it lies: for tables that are `removed` before the end."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}-{tag}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, tag: str = "table") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
 
     Tables stay until the application ends or `clear` is called: results are lazy and may still read them.
     """
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, tag)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written_at that nothing will read again."""
+    _remove(spark, path)
 
 
 def clear(spark: SparkSession) -> None:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import base64
 import html
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import imaging as I
+from sightline.operators.ordered import numbered_whole
+from sightline.scratch import written
 
 from . import codecs
 
-#: Tracks that one report shows; a longer list is a table, not a page.
-MOST_TRACKS = 2000
+#: Tracks on one page of a report.
+PAGE_TRACKS = 2000
 THUMB_W, THUMB_H = 180, 135
 
 
@@ -36,28 +39,34 @@ def thumbnails(images: DataFrame, keep: list[str], schema: str) -> DataFrame:
     return I.per_image(images, run, schema + ", thumb string", [*keep, *box])
 
 
-def track_page(totals: DataFrame, tracks: DataFrame, times: DataFrame, title: str = "Tracks") -> str:
-    """An HTML page: totals, and per track its bar on the timeline, its name, thumbnail and a few times.
+def track_pages(totals: DataFrame, tracks: DataFrame, times: DataFrame, title: str = "Tracks", per_page: int = PAGE_TRACKS) -> Iterator[str]:
+    """HTML pages that together show every track: totals, and per track its bar on the timeline, its name, thumbnail and a few times.
 
     totals: one row of frames, faces, duration, tracks. tracks: video, face_id, left_pct, width_pct, colour, and
-    optionally name and thumb. times: video, face_id, ts.
+    optionally name and thumb. times: video, face_id, ts. The driver holds one page's tracks.
     """
     t = totals.first()
-    rows = tracks.orderBy("video", "face_id").limit(MOST_TRACKS)
-    sampled = rows.select("video", "face_id").join(times, ["video", "face_id"], "left").groupBy("video", "face_id").agg(F.sort_array(F.collect_list("ts")).alias("times"))
-    out = [
-        f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>",
-        f"<p>{t.frames} frames, {t.faces} faces, {t.tracks} tracks, {t.duration:.1f} s</p>",
-    ]
-    for r in rows.join(sampled, ["video", "face_id"], "left").orderBy("video", "face_id").collect():
-        d = r.asDict()
-        colour = "#%02x%02x%02x" % I.PALETTE[d["colour"]]
-        name = html.escape(d.get("name") or f"track {d['face_id']}")
-        picture = f"<img src='{d['thumb']}'>" if d.get("thumb") else ""
-        at = ", ".join(f"{x:.1f}" for x in d["times"] or [])
-        bar = f"<div style='margin-left:{d['left_pct']:.2f}%;width:{max(d['width_pct'], 0.2):.2f}%;background:{colour};height:8px'></div>"
-        out.append(f"<section><h2>{d['video']} / {name}</h2>{picture}{bar}<p>{at}</p></section>")
-    return "\n".join([*out, "</body></html>"])
+    keys = ["video", "face_id"]
+    sampled = tracks.select(*keys).join(times, keys, "left").groupBy(*keys).agg(F.sort_array(F.collect_list("ts")).alias("times"))
+    rows = written(numbered_whole(tracks.join(sampled, keys, "left"), keys, "place"), "report")
+    n = rows.count()
+    for page in range(max(1, -(-n // per_page))):
+        first, last = page * per_page + 1, min(n, (page + 1) * per_page)
+        out = [
+            f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>",
+            f"<p>{t.frames} frames, {t.faces} faces, {t.tracks} tracks, {t.duration or 0.0:.1f} s</p>",
+        ]
+        if n > per_page:
+            out.append(f"<p>Tracks {first} to {last}, page {page + 1} of {-(-n // per_page)}</p>")
+        for r in rows.where(F.col("place").between(first, last)).orderBy("place").collect():
+            d = r.asDict()
+            colour = "#%02x%02x%02x" % I.PALETTE[d["colour"]]
+            name = html.escape(d.get("name") or f"track {d['face_id']}")
+            picture = f"<img src='{d['thumb']}'>" if d.get("thumb") else ""
+            at = ", ".join(f"{x:.1f}" for x in d["times"] or [])
+            bar = f"<div style='margin-left:{d['left_pct']:.2f}%;width:{max(d['width_pct'], 0.2):.2f}%;background:{colour};height:8px'></div>"
+            out.append(f"<section><h2>{d['video']} / {name}</h2>{picture}{bar}<p>{at}</p></section>")
+        yield "\n".join([*out, "</body></html>"])
 
 
 def benchmark_page(overview: list[dict], classes: DataFrame | None = None, failures: DataFrame | None = None) -> str:

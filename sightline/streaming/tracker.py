@@ -29,7 +29,8 @@ def _step(threshold: float):
         tracker, waiting = Tracker(threshold), []
         if state.exists:
             tracks, held = state.get
-            (tracker.centres, tracker.galleries), waiting = pickle.loads(tracks), pickle.loads(held)
+            tracker.resume(*pickle.loads(tracks))
+            waiting = pickle.loads(held)
         for pdf in frames:
             waiting += list(pdf[_WAIT].itertuples(index=False, name=None))
         mark = state.getCurrentWatermarkMs()
@@ -39,7 +40,7 @@ def _step(threshold: float):
         for at, idx, pos, x, y, w, h, descriptor in ready:
             face, distance = tracker.register((x, y, w, h), np.asarray(descriptor))
             out.append((key[0], idx, pos, at, face, np.nan if distance is None else distance))
-        state.update((pickle.dumps((tracker.centres, tracker.galleries)), pickle.dumps(waiting)))
+        state.update((pickle.dumps(tracker.state()), pickle.dumps(waiting)))
         if waiting:  # come back when the earliest of them is due, even without new rows
             state.setTimeoutTimestamp(max(int(min(r[0] for r in waiting)), mark + 1))
         yield pd.DataFrame(out, columns=["video", "idx", "pos", "at", "face_id", "distance"])

@@ -102,16 +102,39 @@ def test_gradient_detector():
         x = np.mgrid[0:64, 0:64][1]
         return np.clip(np.where(x // 8 % 2, 200, 40) + rng.normal(0, noise, (64, 64)), 0, 255).astype(np.uint8)
 
-    margin = D.train_gradients([disc(8) for _ in range(8)], [bars(8) for _ in range(8)], iterations=20, rate=0.05)
+    margin = D.train_gradients([disc(8) for _ in range(8)], [bars(8) for _ in range(8)], iterations=60)
     image = np.full((96, 112), 40, np.uint8)
     image[20:84, 30:94] = disc(2)
     boxes, scores = D.scan_gradients(margin, image, 64, 64, 1.2, 2, 0.5)
     best = boxes[np.argmax(scores)]
     assert abs(best[0] - 30) <= 8 and abs(best[1] - 20) <= 8
+    # window by window, with a descriptor each
+    want = []
+    for y in range(0, 33, 2):
+        for x in range(0, 49, 2):
+            score = float(margin.score(I.gradient_descriptor(image[y : y + 64, x : x + 64])[None, :])[0])
+            if score >= 0.5:
+                want.append((x, y, 64, 64, round(score, 9)))
+    assert [(*map(int, b), round(float(v), 9)) for b, v in zip(boxes, scores)] == want
     merged = D.faces(image, DEMO, D.Options(min_size=12, max_size=64, step=4, margin_threshold=0.5), margin)
     assert len(merged)
 
 
+def test_gradient_query(spark):
+    margin = M_queries.demo_margin()
+    got = M_queries.detect_gradients(spark, "/root/testdata/sf0.001").where("img < 4").collect()
+    images = {r.img: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) for r in M_queries.scenes(spark, "/root/testdata/sf0.001").where("img < 4").collect()}
+    assert got and images
+    for key, image in images.items():
+        want, size = [], 64.0  # windows of 64 at least: the image isn't enlarged
+        scale = 64 / size
+        small = I.resize_bilinear(image, 64, 64)
+        score = float(margin.score(I.gradient_descriptor(small)[None, :])[0])
+        if score >= 0:
+            want.append((0, 0, 64, 64, round(score, 4)))
+        assert scale == 1 and [tuple(r)[1:] for r in got if r.img == key and r.w == 64] == want
+
+
 def test_grouping_forms_agree(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), k, tuple(int(v) for v in (*rng.integers(0, 60, 2), *rng.integers(1, 40, 2)))) for i in range(12) for k in range(int(rng.integers(1, 9)))]
@@ -336,8 +359,11 @@ def test_whole_run(spark, tmp_path):
     assert len(list((tmp_path / "out" / "crops").iterdir())) == len(lines)
     stats = T.stats(each.withColumn("face_id", F.col("face_id")))
     totals = T.report_totals(frames, stats)
-    page = reports.track_page(totals, T.timeline(stats, totals).withColumn("name", F.lit("<x>")), each.select("video", "face_id", "ts"))
+    bars, times = T.timeline(stats, totals).withColumn("name", F.lit("<x>")), each.select("video", "face_id", "ts")
+    (page,) = reports.track_pages(totals, bars, times)
     assert "6 frames" in page and "&lt;x&gt;" in page
+    several = list(reports.track_pages(totals, bars.select(*[c for c in bars.columns if c != "face_id"], F.explode(F.sequence(F.lit(0), F.lit(6))).alias("face_id")), times, per_page=3))
+    assert len(several) == 3 and sum(p.count("<section>") for p in several) == 7 and "Tracks 7 to 7, page 3 of 3" in several[2]
     shot = reports.thumbnails(source.withColumns({c: F.lit(v) for c, v in zip("xywh", (8, 8, 12, 12))}), ["idx"], "idx bigint").first()
     assert shot.thumb.startswith("data:image/png;base64,")
     t = spark.createDataFrame([(0, None, [(1, 0.0, [8, 8, 12, 12]), (2, 1.0, [8, 8, 12, 12]), (3, 2.0, [8, 8, 12, 12])]), (1, "a/b", [(5, 4.0, [0, 0, 9, 9]), (77, 9.0, [0, 0, 9, 9])])],
