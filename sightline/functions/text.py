@@ -110,6 +110,16 @@ def recognition_line(index: Column, seconds: Column, name: Column, person: Colum
 
 
 def civil_time(seconds: Column) -> Column:
-    """Seconds since 1970 as YYYY-MM-DD HH:MM:SS UTC, without the session's time zone."""
-    at = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
-    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+    """Seconds since 1970 as YYYY-MM-DD HH:MM:SS UTC, without the session's time zone.
+
+    Years from 10000 on have all their digits and no sign; those before year 0 have a minus and no zeros in front.
+    """
+    whole = F.floor(seconds).cast("bigint")
+    rest = F.pmod(whole, F.lit(86400))  # of the day
+    day = F.date_from_unix_date(((whole - rest) / 86400).cast("int"))
+    two = lambda v: F.lpad(v.cast("int").cast("string"), 2, "0")
+    year = F.year(day)
+    year = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    date = F.concat_ws("-", year, two(F.month(day)), two(F.day(day)))
+    at = F.concat_ws(":", two(rest / 3600), two(rest % 3600 / 60), two(rest % 60))
+    return F.when(whole.isNotNull(), F.concat_ws(" ", date, at))

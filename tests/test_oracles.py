@@ -51,3 +51,19 @@ def test_plans_hold_no_accidental_cartesian_product(spark):
     for name in ("gate_join_binned", "iou_self_join", "negative_pairs_hash", "prior_merge", "dedup_adjacent", "dist_chi2"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_civil_time_of_any_year(spark, tmp_path, zone):
+    """Years of five and six digits, years before 0, and hours that the session's zone skips."""
+    ids = [0, 1, -1, 99999, 2934540, 2934541, 2934542, 5999999, 11600000, 100000000, -719520, -719600, -1000000, 13232, 13233, None, *range(13000, 13400)]
+    path = f"{tmp_path}/events.parquet"
+    duckdb.sql(f"COPY (SELECT unnest({[i for i in ids if i is not None]}::BIGINT[] || [NULL]) AS event_id) TO '{path}' (FORMAT parquet)")
+    want = duckdb.sql(registry.ORACLES["civil_time"].replace("FROM events", f"FROM '{path}'")).fetchall()
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = registry.QUERIES["civil_time"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) == len(ids)
