@@ -21,6 +21,7 @@ passed on and isn't held out; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,8 +149,20 @@ def _shares_of_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _fitted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the one partition that holds the sample, as one row."""
+    found = [row for batch in frames for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shares", "label")))]
+    found.sort(key=lambda r: r[:2])
+    shares = np.zeros((len(found), BUCKETS), np.float32)
+    for k, (_, row, _) in enumerate(found):
+        shares[k] = np.frombuffer(row, np.float32)
+    labels = np.array([label for _, _, label in found])
+    found.clear()
+    yield pa.record_batch([pa.array([pickle.dumps(fit(shares, labels))], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows that aren't held out."""
+    """A model from at most `sample` labelled rows that aren't held out, fitted in a task: the driver gets the model alone."""
     chosen = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label"))
         .where(~held_out(F.col("doc_id")) & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
@@ -160,10 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     joined = slim.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     rows = joined.mapInArrow(_shares_of_rows, "doc_id bigint, label double, shares binary")
     # ids may repeat among the documents: the bound holds for the rows too
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "shares").limit(sample).collect()
-    found.sort(key=lambda r: (r.doc_id, r.shares))
-    shares = np.stack([np.frombuffer(r.shares, np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
-    return fit(shares, np.array([r.label for r in found]))
+    bounded = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "shares").limit(sample)
+    found = bounded.mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(np.zeros((0, BUCKETS), np.float32), np.zeros(0))
 
 
 def _scorer(shared):

@@ -1,6 +1,7 @@
 """Quality classifier: held-out accuracy, the vote against brute force, and awkward rows."""
 
 import itertools
+import pickle
 import re
 import zlib
 
@@ -44,6 +45,23 @@ def test_held_out_labels_are_not_used(spark):
     assert a == pytest.approx(b, abs=1e-9)
 
 
+def test_the_driver_gets_the_model_alone(spark, monkeypatch):
+    """The sample's counts are 8 KB a row: they are gathered and decomposed in a task."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    taken, collect = [], type(docs).collect
+
+    def spy(self):
+        rows = collect(self)
+        taken.extend(len(pickle.dumps(tuple(r))) for r in rows)
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", spy)
+    model = q.train(docs, labels, "doc_id", "text", "quality")
+    assert len(model.labels) > 150 and 0 < sum(taken) < model.projection.nbytes + model.vectors.nbytes + model.weights.nbytes + model.labels.nbytes + 2000
+    none = q.train(docs, labels.limit(0), "doc_id", "text", "quality")
+    assert len(none.labels) == 0 and none.prior == 0.5
+
+
 def test_vote_is_exact():
     rng = np.random.default_rng(4)
     vectors = q._unit(rng.normal(size=(90, 6)).astype(np.float32))
